@@ -7,9 +7,9 @@ frequent shingles last (by a sketch of counts over the whole corpus) and break t
 
 1.  One scan turns each text into its shingle set's fingerprint; equal sets are one node from here on.
 2.  A scan emits each node's prefix under the first order.  Rows are dealt by shingle and sorted; shingles of one
-    node only go.  What is left are short postings with, for each row, its position and how many shared shingles
-    precede it: that bounds the intersection of two rows whose first common shingle it is.
-3.  Star rounds pair the members of a posting with one pivot only, so a group of n copies yields n rows.
+    node only go.  If this is the first shingle that two nodes share, their positions bound the intersection, so a
+    short posting yields its possible pairs at once, and the rows of a long posting are kept.
+3.  Long postings: star rounds pair the members with one pivot only, so a group of n copies yields n rows.
     Candidates are intersected with the filters of the other two orders and verified on whole sets.
 4.  Afterwards a posting whose members are all in one component is settled.  Members of others meet the members of
     other components in blocks of bounded size, under the same bounds and filters: no link between components is lost.
@@ -24,50 +24,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .kernels import mix64, shingle_sets
+from .kernels import distinct_shingles, mix64, set_signatures, shingle_sets
 from .shared import keep_ids, read_table, stored
 
 _U = np.uint64
-SKETCH_BITS = 20
+SKETCH_BITS = 21
 SKETCH_PARTS = 64
 #: Seeds of the tie-breaks of the three global orders.
 ORDER_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 STAR_ROUNDS = 2
+#: Postings of up to so many members yield their possible pairs at once.
+SHORT_POSTING = 16
 BLOCK_ROWS = 4096
 
 
-def _signature(shingles: np.ndarray) -> int:
-    """A 64-bit fingerprint of a set, given sorted."""
-    with np.errstate(over="ignore"):
-        x = mix64(shingles + np.arange(len(shingles), dtype=_U) * _U(0x9E3779B97F4A7C15)).sum(dtype=_U) + _U(len(shingles))
-        return int(mix64(np.array([x], dtype=_U)).view(np.int64)[0])
-
-
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (doc_id, n, node, part, cells): a row for each text, and at the end the task's sketch in parts."""
     cells = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     shift = _U(64 - SKETCH_BITS)
     for batch in batches:
-        n, node = [], []
-        for s in shingle_sets(batch.column(1)):
-            np.add.at(cells, (s >> shift).astype(np.int64), 1)
-            n.append(len(s))
-            node.append(_signature(s) if len(s) else None)
-        none = pa.nulls(len(n), pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(node, pa.int64()), none, pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "node", "part", "cells"])
-    parts = [p.astype("<u4").tobytes() for p in cells.reshape(SKETCH_PARTS, -1)]
+        n, node = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for flat, starts in distinct_shingles(batch.column(1)):
+            cells += np.bincount((flat >> shift).astype(np.int64), minlength=len(cells))
+            n.append(np.diff(starts))
+            node.append(set_signatures(flat, starts))
+        n, node = np.concatenate(n), np.concatenate(node)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int32)), pa.array(node, mask=n == 0), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "node", "part", "cells"])
+    parts = [np.minimum(p, 65535).astype("<u2").tobytes() for p in cells.reshape(SKETCH_PARTS, -1)]
     yield pa.RecordBatch.from_arrays([pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.int32()), pa.nulls(SKETCH_PARTS, pa.int64()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "n", "node", "part", "cells"])
 
 
 def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    width = (1 << SKETCH_BITS) // SKETCH_PARTS
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            new = np.frombuffer(cells, dtype="<u4").astype(np.int64)
+            new = np.frombuffer(cells, dtype=f"<u{len(cells) // width}").astype(np.int64)
             total[part] = total[part] + new if part in total else new
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(v, 0xFFFFFFFF).astype("<u4").tobytes() for v in total.values()], pa.binary())], names=["part", "cells"])
 
@@ -88,14 +84,17 @@ def _order_key(shingles: np.ndarray, bands: np.ndarray, seed: int) -> np.ndarray
     return (band << _U(56)) | (mix64(shingles ^ _U(seed)) >> _U(8))
 
 
-def _prefix(shingles: np.ndarray, bands: np.ndarray, seed: int) -> np.ndarray:
-    n = len(shingles)
-    p = n - (3 * n + 3) // 4 + 1
-    key = _order_key(shingles, bands, seed)
-    if p < n:
-        some = np.argpartition(key, p - 1)[:p]
-        return shingles[some[np.argsort(key[some])]]
-    return shingles[np.argsort(key)]
+def _prefixes(flat: np.ndarray, starts: np.ndarray, bands: np.ndarray, seed: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each set the indices of its prefix under an order, in that order; and how long each is."""
+    key = _order_key(flat, bands, seed)
+    out = []
+    for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        n = j - i
+        p = n - (3 * n + 3) // 4 + 1 if n else 0
+        own = key[i:j]
+        some = np.argpartition(own, p - 1)[:p] if p < n else np.arange(n)
+        out.append(some[np.argsort(own[some])] + i)
+    return out, np.array([len(x) for x in out], dtype=np.int64)
 
 
 def _emit_prefixes(bands):
@@ -104,133 +103,153 @@ def _emit_prefixes(bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            t, node, n, pos = [], [], [], []
-            for s in shingle_sets(batch.column(0)):
-                if not len(s) or (sig := _signature(s)) in seen:
-                    continue
+            for flat, starts in distinct_shingles(batch.column(0)):
+                sigs, sizes = set_signatures(flat, starts), np.diff(starts)
+                own, size = _prefixes(flat, starts, bands.value, ORDER_SEEDS[0])
+                new = [k for k, s in enumerate(sigs.tolist()) if sizes[k] and not (s in seen or seen.add(s))]
                 if len(seen) > 1_000_000:
                     seen.clear()
-                seen.add(sig)
-                p = _prefix(s, bands.value, ORDER_SEEDS[0])
-                t.append(p.view(np.int64))
-                node.append(np.full(len(p), sig))
-                n.append(np.full(len(p), len(s), dtype=np.int32))
-                pos.append(np.arange(len(p), dtype=np.int32))
-            if t:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (t, node, n, pos)], names=["t", "node", "n", "pos"])
+                if new:
+                    at = np.concatenate([own[k] for k in new])
+                    pos = np.concatenate([np.arange(size[k], dtype=np.int32) for k in new])
+                    cols = [flat[at].view(np.int64), np.repeat(sigs[new], size[new]), np.repeat(sizes[new].astype(np.int32), size[new]), pos]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["t", "node", "n", "pos"])
 
     return run
 
 
-def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (t, node), streamed: without repeated rows and without shingles that only one node has."""
-    held: list[np.ndarray] | None = None  # the last row so far
-    told = False  # whether the held row has gone out, as its shingle has another node
+def _possible(n1, p1, n2, p2):
+    """Whether sets of these sizes whose first common shingle stands at these positions can link (numpy or columns)."""
+    low = np.minimum if isinstance(n1, np.ndarray) else F.least
+    high = np.maximum if isinstance(n1, np.ndarray) else F.greatest
+    most = low(n1 - p1, n2 - p2)
+    return (most * 7 >= (n1 + n2) * 3) & (low(n1, n2) * 4 >= high(n1, n2) * 3)
+
+
+def _pairs_of_runs(ends: np.ndarray, n: np.ndarray, pos: np.ndarray, skip=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs (i < j, j before ends[i]) that can link, some millions at a time."""
+    partners = ends - np.arange(len(ends)) - 1
+    done = np.concatenate([[0], np.cumsum(partners)])
+    i0 = 0
+    while i0 < len(ends):
+        i1 = max(i0 + 1, int(np.searchsorted(done, done[i0] + 2_000_000, side="right")) - 1)
+        count = partners[i0:i1]
+        i = np.repeat(np.arange(i0, i1), count)
+        j = np.arange(len(i)) - np.repeat(done[i0:i1] - done[i0], count) + i + 1
+        ok = _possible(n[i], pos[i], n[j], pos[j])
+        if skip is not None:
+            ok &= ~skip(i, j)
+        if ok.any():
+            yield i[ok], j[ok]
+        i0 = i1
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted batches, cut where the first so many columns change: each has whole runs of equal keys."""
+    held: list[np.ndarray] | None = None
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if not len(cols[0]):
+        held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        if len(held[0]) < 2:
             continue
-        if held is not None:
-            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-        t, node = cols[0], cols[1]
-        fresh = np.concatenate([[True], (t[1:] != t[:-1]) | (node[1:] != node[:-1])])
-        at = np.flatnonzero(fresh)
-        t = t[at]
-        with_last = np.concatenate([[False], t[1:] == t[:-1]])
-        out = with_last | np.concatenate([with_last[1:], [False]])
-        if told:
-            out_now = out.copy()
-            out_now[0] = False
-        else:
-            out_now = out
-        held, told = [c[at[-1:]] for c in cols], bool(out[-1] or (told and len(at) == 1))
-        rows = at[out_now]
-        if len(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(c[rows]) for c in cols], names=["t", "node", "n", "pos"])
-
-
-def _sets_of(bands):
-    """(text) to (node, p2, p3, shingles): the prefixes under the second and third order, and the whole set."""
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in held[:keys]], axis=0))
+        if len(change):
+            cut = int(change[-1]) + 1
+            yield [c[:cut] for c in held]
+            held = [c[cut:] for c in held]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def _run_ends(cols: list[np.ndarray], keys: int) -> np.ndarray:
+    """For each row the end of its run."""
+    cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:keys]], axis=0)) + 1
+    bounds = np.concatenate([[0], cuts, [len(cols[0])]])
+    return np.repeat(bounds[1:], np.diff(bounds))
+
+
+_CANDIDATE = "a long, b long, t long, node long, n int, pos int"
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, node, n, pos) sorted by (t, node): possible pairs (a, b) of short postings, and the rows of long ones.
+
+    Repeated rows of a node count once.  A run is held as four numbers a row while it passes.
+    """
+    for cols in _runs(batches, 1):
+        fresh = np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])
+        cols = [c[fresh] for c in cols]
+        t, node, n, pos = cols
+        ends = _run_ends(cols, 1)
+        size = np.bincount(ends, minlength=len(t) + 1)[ends]
+        short = (size > 1) & (size <= SHORT_POSTING)
+        if short.any():
+            s_cols = [c[short] for c in cols]
+            s_node, s_n, s_pos = s_cols[1:]
+            for i, j in _pairs_of_runs(_run_ends(s_cols, 1), s_n, s_pos):
+                a, b = np.minimum(s_node[i], s_node[j]), np.maximum(s_node[i], s_node[j])
+                pair = np.unique(np.stack([a, b], axis=1), axis=0)
+                none = pa.nulls(len(pair), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), none, none, none.cast(pa.int32()), none.cast(pa.int32())], names=["a", "b", "t", "node", "n", "pos"])
+        long = size > SHORT_POSTING
+        if long.any():
+            none = pa.nulls(int(long.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, *(pa.array(c[long]) for c in cols)], names=["a", "b", "t", "node", "n", "pos"])
+
+
+def _texts_of(bands):
+    """(text) to (node, n, p2, p3, text): the prefixes under the second and third order, 32 bits a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = pa.list_(pa.int32())
         for batch in batches:
-            node, p2, p3, sets = [], [], [], []
-            for s in shingle_sets(batch.column(0)):
-                if len(s):
-                    node.append(_signature(s))
-                    p2.append(np.sort(_prefix(s, bands.value, ORDER_SEEDS[1]).view(np.int64)))
-                    p3.append(np.sort(_prefix(s, bands.value, ORDER_SEEDS[2]).view(np.int64)))
-                    sets.append(s.tobytes())
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(p2, lists), pa.array(p3, lists), pa.array(sets, pa.binary())], names=["node", "p2", "p3", "shingles"])
+            node, n, filters = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], ([], [])
+            for flat, starts in distinct_shingles(batch.column(0)):
+                node.append(set_signatures(flat, starts))
+                n.append(np.diff(starts))
+                for out, seed in zip(filters, ORDER_SEEDS[1:], strict=True):
+                    out += [flat[at].astype(np.uint32).view(np.int32) for at in _prefixes(flat, starts, bands.value, seed)[0]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(node)), pa.array(np.concatenate(n).astype(np.int32)), *(pa.array(f, lists) for f in filters), batch.column(0)], names=["node", "n", "p2", "p3", "text"])
 
     return run
 
 
+def _enough_shared(order: str) -> F.Column:
+    """Whether the prefixes under an order share enough for a link.
+
+    Where the prefix that ends first ends, everything shared so far is in both prefixes, so the intersection is at most
+    that and the rest of that set.  Shingles of one prefix that agree in 32 bits are added back.
+    """
+    a, b, pa_, pb_ = F.col("an"), F.col("bn"), F.col("a" + order), F.col("b" + order)
+    shared = F.size(F.array_intersect(pa_, pb_)) + F.size(pa_) - F.size(F.array_distinct(pa_))
+    rest = F.greatest(a - F.size(pa_), b - F.size(pb_))
+    return (shared > 0) & ((shared + rest) * 7 >= (a + b) * 3)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, sa, sb) to (a, b, linked) by the exact intersection."""
+    """(a, b, ta, tb) to (a, b, linked) by the exact intersection of the shingles of both whole texts."""
     for batch in batches:
         linked = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), dtype=_U) for v in (x, y))
+        for x, y in zip(shingle_sets(batch.column(2)), shingle_sets(batch.column(3)), strict=True):
             both = np.sort(np.concatenate([x, y]), kind="stable")
             common = int((both[1:] == both[:-1]).sum())
             linked.append(100 * common >= 75 * (len(x) + len(y) - common))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
-def _possible(x: str, y: str) -> F.Column:
-    """Whether two posting rows whose first common shingle this is can still link."""
-    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
-    most = F.least(f"{x}.m", f"{y}.m") + 1 + F.least(a - F.col(f"{x}.pos") - 1, b - F.col(f"{y}.pos") - 1)
-    return (most * 7 >= (a + b) * 3) & (F.least(a, b) * 4 >= F.greatest(a, b) * 3)
-
-
 def _cross_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t, lo, hi, side, node, comp, n, pos, m) sorted by (t, lo, hi) to (a, others): partners in other components, as packed ids.
+    """(t, lo, hi, side, node, comp, n, pos) sorted by (t, lo, hi) to (a, others): partners in other components, as packed ids.
 
-    A group holds two blocks of a posting, about 2 * BLOCK_ROWS rows at most.
+    A run holds two blocks of a posting, about 2 * BLOCK_ROWS rows.
     """
-
-    def pairs(cols: list[np.ndarray]) -> tuple[list[int], list[bytes]]:
-        _, lo, hi, side, node, comp, n, pos, m = cols
-        one = np.flatnonzero(side == lo)
-        two = np.flatnonzero(side == hi)
-        a_out, b_out = [], []
-        for i in one:
-            rest = two[two > i] if lo[0] == hi[0] else two
-            rest = rest[comp[rest] != comp[i]]
-            if len(rest):
-                most = np.minimum(m[i], m[rest]) + 1 + np.minimum(n[i] - pos[i] - 1, n[rest] - pos[rest] - 1)
-                ok = (7 * most >= 3 * (n[i] + n[rest])) & (4 * np.minimum(n[i], n[rest]) >= 3 * np.maximum(n[i], n[rest]))
-                if ok.any():
-                    a_out.append(int(node[i]))
-                    b_out.append(node[rest[ok]].tobytes())
-        return a_out, b_out
-
-    held: list[np.ndarray] | None = None
-    while True:
-        batch = next(batches, None)
-        if batch is not None:
-            cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            if not len(held[0]):
-                continue
-        if held is None or not len(held[0]):
-            return
-        t, lo, hi = held[:3]
-        cuts = np.flatnonzero((t[1:] != t[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-        bounds = [0, *cuts.tolist(), *([len(t)] if batch is None else [])]
-        a_all, b_all = [], []
-        for i, j in zip(bounds, bounds[1:], strict=False):
-            a, b = pairs([c[i:j] for c in held])
-            a_all += a
-            b_all += b
-        if a_all:
-            yield pa.RecordBatch.from_arrays([pa.array(a_all, pa.int64()), pa.array(b_all, pa.binary())], names=["a", "others"])
-        if batch is None:
-            return
-        held = [c[bounds[-1] :] for c in held]
+    for cols in _runs(batches, 3):
+        _, lo, hi, side, node, comp, n, pos = cols
+        ends = _run_ends(cols, 3)
+        for i, j in _pairs_of_runs(ends, n, pos, lambda i, j: (comp[i] == comp[j]) | ((lo[i] != hi[i]) & (side[i] == side[j]))):
+            at = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+            offsets = np.append(at, len(i)).astype(np.int64) * 8
+            others = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(node[j].tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(node[i[at]]), others.cast(pa.binary())], names=["a", "others"])
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,53 +282,46 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     nodes = stored(rows.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
 
     prefixes = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_emit_prefixes(bands), "t long, node long, n int, pos int")
-    postings = prefixes.repartition("t").sortWithinPartitions("t", "node").mapInArrow(_shared_only, "t long, node long, n int, pos int")
-    before = F.row_number().over(Window.partitionBy("node").orderBy("pos")) - 1
-    postings = stored(postings.withColumn("m", before), "postings")
-
-    sets, pairs_done, edges = None, None, None
-    comps = nodes.select("node", F.col("node").alias("comp"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Edges among pairs (a, b) that pass the filters of all orders and the exact test."""
-        nonlocal sets, pairs_done
-        if pairs_done is not None:
-            pairs = pairs.join(pairs_done, ["a", "b"], "left_anti")
+    found = stored(prefixes.repartition("t").sortWithinPartitions("t", "node").mapInArrow(_candidates, _CANDIDATE), "candidates")
+    postings = found.where("a IS NULL").select("t", "node", "n", "pos")
+
+    def verified(pairs: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The links among pairs (a, b) that pass the filters of all orders, and all pairs tested so far."""
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        pairs_done = pairs if pairs_done is None else pairs_done.union(pairs)
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if sets is not None:
-            ends = ends.join(sets.select("node"), "node", "left_anti")
+        ends = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select(F.col("b").alias("node")).distinct()).distinct()
         ids = stored(ends.join(nodes, "node").select("doc_id").distinct(), "wanted")
-        new = stored(keep_ids(docs, ids, "doc_id").select("text").mapInArrow(_sets_of(bands), "node long, p2 array<long>, p3 array<long>, shingles binary"), "sets")
-        sets = new if sets is None else sets.union(new)
-        known = sets.dropDuplicates(["node"])
-        left = known.select(F.col("node").alias("a"), F.col("p2").alias("a2"), F.col("p3").alias("a3"), F.col("shingles").alias("sa"))
-        right = known.select(F.col("node").alias("b"), F.col("p2").alias("b2"), F.col("p3").alias("b3"), F.col("shingles").alias("sb"))
-        near = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
-        near = near.where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
-        return stored(near.select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long, linked boolean").where("linked").select("a", "b"), "links")
-
+        texts = stored(keep_ids(docs, ids, "doc_id").select("text").mapInArrow(_texts_of(bands), "node long, n int, p2 array<int>, p3 array<int>, text string"), "texts")
+        side = lambda x, *cols: texts.select(F.col("node").alias(x), *(F.col(c).alias(x + c) for c in cols)).hint("merge")
+        near = pairs
+        for order in ("p2", "p3"):
+            near = near.join(side("b", "n", order), "b").join(side("a", "n", order), "a")
+            near = near.where(_enough_shared(order)).select("a", "b").distinct()
+        near = near.join(side("b", "text"), "b").join(side("a", "text"), "a").select("a", "b", "atext", "btext")
+        links = stored(near.mapInArrow(_verify, "a long, b long, linked boolean").where("linked").select("a", "b"), "links")
+        return links, pairs if done is None else done.union(pairs)
+
+    links, done, open_rows, comps = None, None, postings.withColumn("comp", F.col("node")), None
     for turn in range(STAR_ROUNDS):
-        part = postings
-        if turn:
-            part = _unsettled(postings, comps)
-        pivot = part.groupBy("t").agg(F.min_by(F.struct("node", "n", "pos", "m"), F.xxhash64("node", F.lit(turn))).alias("p"))
-        star = part.alias("y").join(pivot.select("t", "p.*").alias("x"), "t").where("x.node <> y.node").where(_possible("x", "y"))
-        if turn:
-            star = star.join(comps.select(F.col("node").alias("pn"), F.col("comp").alias("pc")), F.col("x.node") == F.col("pn")).where("pc <> comp")
-        found = verified(star.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-        edges = found if edges is None else edges.union(found)
-        comps = _components(nodes, edges)
+        pivot = open_rows.groupBy("t").agg(F.min_by(F.struct("node", "n", "pos", "comp"), F.struct(F.col("pos") * (1 - turn), F.xxhash64("node", F.lit(turn)))).alias("p"))
+        star = open_rows.alias("y").join(pivot.select("t", "p.*").alias("x"), "t").where("x.comp <> y.comp")
+        star = star.where(_possible(*(F.col(c) for c in ("x.n", "x.pos", "y.n", "y.pos"))))
+        pairs = star.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        if not turn:
+            pairs = pairs.union(found.where("a IS NOT NULL").select("a", "b"))
+        new, done = verified(pairs.distinct(), done)
+        links = new if links is None else links.union(new)
+        comps = _components(nodes, links)
+        open_rows = stored(_unsettled(open_rows.drop("comp", "size"), comps), "open")
 
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    left = _unsettled(postings, comps).withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    grid = left.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    grid = grid.select("t", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "comp", "n", "pos", "m")
+    grid = open_rows.withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    grid = grid.select("t", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "comp", "n", "pos")
     grid = grid.repartition("t", "lo", "hi").sortWithinPartitions("t", "lo", "hi")
-    found = grid.mapInArrow(_cross_blocks, "a long, others binary").repartition("a").sortWithinPartitions("a").mapInArrow(_unpack, "a long, b long")
-    found = verified(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    comps = _components(nodes, edges.union(found))
+    cross = grid.mapInArrow(_cross_blocks, "a long, others binary").repartition("a").sortWithinPartitions("a").mapInArrow(_unpack, "a long, b long")
+    new, _ = verified(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), done)
+    comps = _components(nodes, links.union(new))
 
     least = comps.join(nodes, "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     final = comps.join(least, "comp").select("node", "component_id")
@@ -328,7 +340,7 @@ def _unsettled(postings: DataFrame, comps: DataFrame) -> DataFrame:
     """The postings whose members are in more than one component, with comp, and size: members of the posting."""
     known = postings.join(comps, "node")
     open_ = known.groupBy("t").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("t", "size")
-    return known.join(open_, "t")
+    return known.join(open_, "t").select("t", "node", "n", "pos", "comp", "size")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

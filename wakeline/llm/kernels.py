@@ -132,12 +132,34 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np
     return out, starts
 
 
-def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
-    """For each text of a column its distinct shingles, sorted."""
+def distinct_shingles(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For slices of a column in order: the distinct sorted shingles of each text end to end, and where each text's begin."""
     buf, offsets = utf8(column)
     for i, j in slices(offsets):
         at = offsets[i : j + 1]
         words, _, _, first = word_hashes(buf[at[0] : at[-1]], at - at[0])
-        hashes, starts = shingle_hashes(words, first)
+        flat, starts = shingle_hashes(words, first)
         for k in range(j - i):
-            yield np.unique(hashes[starts[k] : starts[k + 1]])
+            flat[starts[k] : starts[k + 1]].sort()
+        fresh = np.ones(len(flat), dtype=bool)
+        fresh[1:] = flat[1:] != flat[:-1]
+        fresh[starts[:-1][starts[:-1] < len(flat)]] = True
+        seen = np.concatenate([[0], np.cumsum(fresh)])
+        yield flat[fresh], seen[starts]
+
+
+def set_signatures(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit fingerprint of each set (0 for the empty set)."""
+    sizes = np.diff(starts)
+    full = sizes > 0
+    out = np.zeros(len(sizes), dtype=_U)
+    if full.any():
+        out[full] = mix64(np.add.reduceat(mix64(flat ^ _U(0x452821E638D01377)), starts[:-1][full]) + sizes[full].astype(_U))
+    return out.view(np.int64)
+
+
+def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """For each text of a column its distinct shingles, sorted."""
+    for flat, starts in distinct_shingles(column):
+        for k in range(len(starts) - 1):
+            yield flat[starts[k] : starts[k + 1]]
