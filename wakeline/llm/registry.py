@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, mixing, url_filter
+from . import ann, decontaminate, jaccard_join, language_id, mixing, suffix_dedup, token_output, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_mixing": mixing.op2_mixing,
+        "op4_language_id": language_id.op4_language_id,
+        "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
+        "op7_ann": ann.op7_ann,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+        "op9_token_output": token_output.op9_token_output,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
