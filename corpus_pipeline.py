@@ -1,0 +1,72 @@
+"""A corpus pipeline over ``documents``: each stage reads all its predecessor kept and is written as Parquet.
+
+language    documents whose language cannot be told (no letter, or a score below SCORE) go
+near_copies one document of each group of near copies stays (the smallest id; of rows that repeat it and its text, one)
+benchmark   documents that hold a benchmark item go
+mixing      sources are repeated to their target weights
+tokens      token shards are written and read back: a row for each document of the mix
+
+All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wakeline.llm import decontaminate, jaccard_join, language_id, mixing, token_output
+from wakeline.llm.shared import keep_ids, read_table, small, stored
+
+#: A mean probability over four or so languages below this is no decision.
+SCORE = 0.34
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a language; the model learns from the documents that are not held out."""
+    found = language_id.predict(docs, language_id.learn(docs))
+    out = stored(found.where((F.col("lang_pred") == language_id.UND) | (F.col("score") < SCORE)).select("doc_id").distinct(), "rejected")
+    return _without(docs, out)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each component of 5-word shingle similarity of 0.75 or more; rows with a null id stay."""
+    groups = jaccard_join.jaccard_components(docs)
+    out = stored(groups.where("component_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct(), "copies")
+    twice = stored(groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    kept = _without(docs, out)
+    if twice.isEmpty():
+        return kept
+    return _without(kept, twice).unionByName(keep_ids(kept, twice, "doc_id").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents with a window that is a benchmark item, or 0.75 of one."""
+    found = decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+    return _without(docs, stored(found.where("doc_id IS NOT NULL").select("doc_id").distinct(), "leaks"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target weight asks for."""
+    return mixing.mix_sources(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of the token shards."""
+    return token_output.token_output(docs)
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without some ids: those are broadcast behind a count, and joined by a shuffle beyond it."""
+    return docs.join(F.broadcast(ids) if small(ids) else ids.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
+STAGES = [("language", language), ("near_copies", near_copies), ("benchmark", benchmark), ("mixing", mix), ("tokens", tokens)]
+#: Training, similarity grouping and byte-pair encoding are beyond SQL; the stages are tested against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
