@@ -9,8 +9,8 @@ commit of task output.
 
 Documents are in ascending order of (doc_id, hash and bytes of the text), null ids first.  Ids are little-endian unsigned 32-bit
 integers; every document ends with END_ID.  A null or empty text is that id alone.  Repeated rows are written repeatedly.
-Texts are split by the tokenizer's own pattern and each distinct piece of a task goes through the tokenizers library once; a
-text that holds one of its special tokens goes through the library whole.  An empty table gives no shard.
+Texts are split by the tokenizer's own pattern and each distinct word of a task goes through the tokenizers library's model once;
+a text that holds one of its special tokens goes through the library whole.  An empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -25,14 +25,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_folder, read_table
+from .shared import new_folder, read_table, stored
 
 END_ID = 2
 #: A frame closes after the document with which it has so many ids; a shard likewise.
 FRAME_IDS = 1 << 16
 SHARD_IDS = 1 << 21
-#: Pieces of text whose ids a task remembers.
-PIECES = 300_000
+#: Words whose ids a task remembers; beyond that it keeps those of the texts at hand.
+PIECES = 250_000
 _SKIP = 0x184D2A50
 #: An empty skippable frame, "P*M\x18" and a size of zero: the line end of Spark's text writer is itself valid zstandard.
 LINE_END = "P*M\x18\x00\x00\x00\x00"
@@ -40,28 +40,56 @@ _MAGIC = b"wkl1"
 NULL_ID = -(1 << 63)
 
 
+#: White space other than a blank and a line feed: texts with it are split by the pattern as a whole.
+_ODD_SPACE = [chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def _byte_alphabet() -> dict[str, str]:
+    """The printable stand-ins of byte-level vocabularies: visible Latin-1 characters are themselves, the rest follow from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in visible]
+    return {chr(b): chr(b) for b in visible} | {chr(b): chr(256 + k) for k, b in enumerate(rest)}
+
+
 class PieceEncoder:
-    """Token ids of whole texts, by distinct pieces."""
+    """Token ids of whole texts: the library's model encodes each distinct word of a task once.
+
+    A single blank or line feed between other characters always begins a piece of the tokenizer's pattern, so words can be
+    split off there; texts with other white space, or white space side by side, are split by the pattern as a whole.
+    """
 
     def __init__(self, path: str, pattern: str):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(pattern)
+        self.alphabet = str.maketrans(_byte_alphabet())
         self.known: dict[str, bytes] = {}
 
+    def _split(self, text: str) -> list[str] | None:
+        if any(s in text for s in self.special):
+            return None
+        spaced = "\0" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace()
+        if spaced or any(c in text for c in _ODD_SPACE):
+            return self.pattern.findall(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+    def _learn(self, word: str) -> bytes:
+        ids = [t.id for piece in self.pattern.findall(word) for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
+        return np.array(ids, dtype="<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [None if any(s in t for s in self.special) else self.pattern.findall(t) for t in texts]
-        new = list({p for own in pieces if own for p in own}.difference(self.known))
-        if len(self.known) + len(new) > PIECES:
-            self.known.clear()
-            new = list({p for own in pieces if own for p in own})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        known = self.known
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if own is None else b"".join([known[p] for p in own]) for t, own in zip(texts, pieces, strict=True)]
+        words = [self._split(t) for t in texts]
+        here = set().union(*(w for w in words if w is not None))
+        if len(self.known) > PIECES:
+            self.known = {w: self.known[w] for w in here.intersection(self.known)}
+        for w in here.difference(self.known):
+            self.known[w] = self._learn(w)
+        get = self.known.__getitem__
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
 
 
 def _shard(docs: list[tuple[int, bytes]]) -> bytes:
@@ -165,6 +193,7 @@ def read_token_shards(spark: SparkSession, folder: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
     rows = files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("shard"), "content").mapInArrow(_read_shards, "shard string, number long, doc_id long, before long, n_tokens long, ids_crc32 long")
+    rows = stored(rows, "token-rows")
     sizes = rows.groupBy("shard").agg(F.sum("n_tokens").alias("size")).withColumn("part", F.regexp_extract("shard", r"^part-(\d+)", 1).cast("long"))
     number = F.regexp_extract("shard", r"-c(\d+)", 1).cast("long")
     inside = F.sum("size").over(Window.partitionBy("part").orderBy(number)) - F.col("size")
