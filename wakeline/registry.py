@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from .operators import filters, graph, lifecycle, mining, search, series, sessions, text, versions  # noqa: F401  (they register)
+from .plans.catalog import ORACLES, QUERIES, Query
+from .sources import files  # noqa: F401
+from .streaming import streams  # noqa: F401
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["time_report"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
