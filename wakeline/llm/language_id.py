@@ -181,10 +181,13 @@ def is_held_out() -> F.Column:
 
 def learn(docs: DataFrame) -> dict:
     """A model from the labelled rows that are not held out: SAMPLE_ROWS of them in hashed order."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~is_held_out())
-    rows = rows.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(SAMPLE_ROWS)
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out()).withColumn("_key", F.xxhash64("doc_id", F.lit(11)))
+    # a hashed share of about four samples first, so that no task sends a whole sample's worth at scale
+    share = max(1, labelled.select("_key").count() // (4 * SAMPLE_ROWS))
+    rows = labelled.where((F.pmod("_key", F.lit(share)) == 0) & F.col("text").rlike(r"\p{L}"))
     at = F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(12)), F.greatest(F.length("text") - WINDOW, F.lit(1)).cast("long"))
-    sample = rows.select(F.substring("text", at.cast("int"), F.lit(WINDOW)).alias("text"), "lang").collect()
+    window = F.substring("text", at.cast("int"), F.lit(WINDOW))
+    sample = rows.select("_key", "doc_id", window.alias("text"), "lang").orderBy("_key", "doc_id").limit(SAMPLE_ROWS).collect()
     sample = [(r.text.encode(), r.lang) for r in sample if r.text]
     return train([t for t, _ in sample], [y for _, y in sample]) if sample else {"classes": []}
 
