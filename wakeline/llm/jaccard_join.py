@@ -285,20 +285,27 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     found = stored(prefixes.repartition("t").sortWithinPartitions("t", "node").mapInArrow(_candidates, _CANDIDATE), "candidates")
     postings = found.where("a IS NULL").select("t", "node", "n", "pos")
 
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).distinct().union(pairs.select(F.col("b").alias("node")).distinct()).distinct()
+
     def verified(pairs: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """The links among pairs (a, b) that pass the filters of all orders, and all pairs tested so far."""
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        ends = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select(F.col("b").alias("node")).distinct()).distinct()
-        ids = stored(ends.join(nodes, "node").select("doc_id").distinct(), "wanted")
+        ids = stored(ends(pairs).join(nodes, "node").select("doc_id").distinct(), "wanted")
         texts = stored(keep_ids(docs, ids, "doc_id").select("text").mapInArrow(_texts_of(bands), "node long, n int, p2 array<int>, p3 array<int>, text string"), "texts")
-        side = lambda x, *cols: texts.select(F.col("node").alias(x), *(F.col(c).alias(x + c) for c in cols)).hint("merge")
+
+        def beside(near: DataFrame, *cols: str) -> DataFrame:
+            """near with columns of both ends' texts; only ends that are left are dealt out."""
+            left = keep_ids(texts.select("node", *cols), stored(ends(near), "ends"), "node")
+            side = lambda x: left.select(F.col("node").alias(x), *(F.col(c).alias(x + c) for c in cols)).hint("merge")
+            return near.join(side("b"), "b").join(side("a"), "a")
+
         near = pairs
         for order in ("p2", "p3"):
-            near = near.join(side("b", "n", order), "b").join(side("a", "n", order), "a")
-            near = near.where(_enough_shared(order)).select("a", "b").distinct()
-        near = near.join(side("b", "text"), "b").join(side("a", "text"), "a").select("a", "b", "atext", "btext")
+            near = stored(beside(near, "n", order).where(_enough_shared(order)).select("a", "b").distinct(), "near")
+        near = beside(near, "text").select("a", "b", "atext", "btext")
         links = stored(near.mapInArrow(_verify, "a long, b long, linked boolean").where("linked").select("a", "b"), "links")
         return links, pairs if done is None else done.union(pairs)
 
