@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import filters, graph, lifecycle, mining, search, series, sessions, text, versions  # noqa: F401  (they register)
+from .operators import filters, history, sessions  # noqa: F401  (they register)
 from .plans.catalog import ORACLES, QUERIES, Query
-from .sources import files  # noqa: F401
-from .streaming import streams  # noqa: F401
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
