@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators import filters, history, recall, sessions, text  # noqa: F401  (they register)
 from .plans.catalog import ORACLES, QUERIES, Query
+from .streaming import feeds  # noqa: F401  (registers too)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
