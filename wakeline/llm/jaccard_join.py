@@ -20,6 +20,7 @@ their own component; rows with a null id take the component of rows with the sam
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,18 +55,26 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node.append(set_signatures(flat, starts))
         n, node = np.concatenate(n), np.concatenate(node)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int32)), pa.array(node, mask=n == 0), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "node", "part", "cells"])
-    parts = [np.minimum(p, 65535).astype("<u2").tobytes() for p in cells.reshape(SKETCH_PARTS, -1)]
+    parts = [_pack(p) for p in cells.reshape(SKETCH_PARTS, -1)]
     yield pa.RecordBatch.from_arrays([pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.int32()), pa.nulls(SKETCH_PARTS, pa.int64()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "n", "node", "part", "cells"])
 
 
+def _pack(cells: np.ndarray) -> bytes:
+    """Counts of a part of a sketch; most are small, so they deflate to a fraction."""
+    return zlib.compress(np.minimum(cells, 0xFFFFFFFF).astype("<u4").tobytes(), 1)
+
+
+def _unpack_cells(part: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(part), dtype="<u4")
+
+
 def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    width = (1 << SKETCH_BITS) // SKETCH_PARTS
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            new = np.frombuffer(cells, dtype=f"<u{len(cells) // width}").astype(np.int64)
+            new = _unpack_cells(cells).astype(np.int64)
             total[part] = total[part] + new if part in total else new
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(v, 0xFFFFFFFF).astype("<u4").tobytes() for v in total.values()], pa.binary())], names=["part", "cells"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([_pack(v) for v in total.values()], pa.binary())], names=["part", "cells"])
 
 
 def _bands(sketches: DataFrame) -> np.ndarray:
@@ -74,7 +83,7 @@ def _bands(sketches: DataFrame) -> np.ndarray:
     rows = once.repartition(16, "part").mapInArrow(_add_sketches, "part int, cells binary").collect()
     cells = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS))
     for row in rows:
-        cells[row.part] = np.frombuffer(row.cells, dtype="<u4")
+        cells[row.part] = _unpack_cells(row.cells)
     flat = cells.reshape(-1)
     return np.floor(2 * np.log2(np.maximum(flat / max(8.0, flat.mean()), 1))).astype(np.uint8)
 
