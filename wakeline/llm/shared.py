@@ -34,7 +34,7 @@ def new_folder(spark: SparkSession, tag: str) -> str:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends here, and any executor may be lost."""
     path = new_folder(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
