@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import filters, history, memory, places, recall, sessions, text  # noqa: F401  (they register)
+from .operators import filters, history, memory, places, recall, sessions, text, threads  # noqa: F401  (they register)
 from .plans.catalog import ORACLES, QUERIES, Query
 from .streaming import feeds  # noqa: F401  (registers too)
 
