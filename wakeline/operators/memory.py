@@ -222,19 +222,23 @@ def topic_clusters_q(spark, sf_dir) -> DataFrame:
     return topic_clusters(place_vectors(captures(spark, sf_dir, vectors=True, keyed=True), width))
 
 
-@query("pin_candidates", over_captures(
-    f"SELECT query_id, count(*) AS asks FROM (SELECT q.query_id, q.embedding AS qv, o.embedding AS ov FROM (SELECT * FROM queries_v WHERE NOT regexp_matches(text, '{UNPINNABLE}')) q JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, query_id DESC) AS r FROM queries_v) WHERE r <= {PIN_RECENT}) o USING (user_id)) "
-    f"WHERE list_cosine_similarity(qv::DOUBLE[], ov::DOUBLE[]) >= {PIN_COSINE} GROUP BY 1 HAVING count(*) >= {PIN_ASKS}"
-))
-def pin_candidates(spark, sf_dir) -> DataFrame:
+def pin_candidates(log: DataFrame) -> DataFrame:
     """TOPK-15: stable questions that a user's last 300 hold three times or more; each meets those 300 only."""
-    log = query_log(spark, sf_dir).withColumn("len", F.sqrt(dot("embedding", "embedding"))).where("len > 0")
+    log = log.withColumn("len", F.sqrt(dot("embedding", "embedding"))).where("len > 0")
     recent = log.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("query_id")))).where(F.col("r") <= PIN_RECENT)
     asked = log.where(~F.col("text").rlike(UNPINNABLE)).select("query_id", "user_id", F.col("embedding").alias("qv"), F.col("len").alias("ql"))
     near = asked.join(recent.select("user_id", "embedding", "len"), "user_id").where("size(qv) = size(embedding)").where(dot("qv", "embedding") / (F.col("ql") * F.col("len")) >= PIN_COSINE)
     return near.groupBy("query_id").agg(F.count("*").alias("asks")).where(F.col("asks") >= PIN_ASKS)
 
 
+@query("pin_candidates", over_captures(
+    f"SELECT query_id, count(*) AS asks FROM (SELECT q.query_id, q.embedding AS qv, o.embedding AS ov FROM (SELECT * FROM queries_v WHERE NOT regexp_matches(text, '{UNPINNABLE}')) q JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, query_id DESC) AS r FROM queries_v) WHERE r <= {PIN_RECENT}) o USING (user_id)) "
+    f"WHERE list_cosine_similarity(qv::DOUBLE[], ov::DOUBLE[]) >= {PIN_COSINE} GROUP BY 1 HAVING count(*) >= {PIN_ASKS}"
+))
+def pin_candidates_q(spark, sf_dir) -> DataFrame:
+    return pin_candidates(query_log(spark, sf_dir))
+
+
 @query("tapped_questions", over_captures("SELECT query_id, left(text, 300) AS text FROM (SELECT *, row_number() OVER (PARTITION BY user_id, text ORDER BY ts DESC, query_id DESC) AS r FROM queries_v) WHERE r = 1"))
 def tapped_questions(spark, sf_dir) -> DataFrame:
     """SNK-5: the rows of the question log that a tap on each question marks: the latest of a user and text, cut to 300 characters."""
