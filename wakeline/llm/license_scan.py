@@ -1,7 +1,9 @@
 """Operator 1, license scans by sentence rules, in SQL functions only.
 
-A text is split into sentences (after ``.``, ``!`` or ``?`` and white space); each is normalised to its lower-case words and looked up
-among known licence sentences.  A sentence that is not known is split into its lines, which are looked up too.  The
+Known licence sentences are looked up as runs of lower-case words inside a text, so a known sentence is found however its lines are
+wrapped, indented or marked as comments.  A run starts where a sentence, a line or a clause (after ``:``, ``;``, ``)`` or ``|``) starts, ends
+where one ends, and holds no sentence end (``.``, ``!`` or ``?`` and white space); of several the longest counts.  So copyright lines,
+headings, blank lines and list marks around a sentence do not hide it, and a mention in the middle of prose is no licence.  The
 identifiers found, in text order, are matched against ordered rules: a rule fits where its identifiers stand next to
 each other.  The first rule that fits names the licence and the verdict; all that fit are listed in rule order.
 
@@ -59,9 +61,13 @@ RULES = (
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _identifier(piece: str) -> str:
-    known = "map(" + ", ".join(f"'{text}', '{name}'" for name, text in SENTENCES.items()) + ")"
-    return f"try_element_at({known}, trim(regexp_replace(translate({piece}, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ')))"
+#: Marks in normalised text: a sentence ended; a line or clause ended.
+_END, _CLAUSE = "\x01", "\x02"
+
+
+def _known_runs() -> str:
+    runs = "|".join(t.replace(" ", f"[ {_CLAUSE}]+") for t in sorted(SENTENCES.values(), key=len, reverse=True))
+    return f"(?:^|[{_END}{_CLAUSE}]) ?({runs})(?= ?(?:[{_END}{_CLAUSE}]|$))"
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
@@ -69,13 +75,12 @@ def scan_licences(docs: DataFrame) -> DataFrame:
 
     identifiers and licences are comma-separated, in text order and rule order.
     """
-    sentences = r"split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\r]+', '$1\u0001'), '\u0001')"
-    # a sentence far longer than any known one is only looked up by its lines
-    most = 2 * max(map(len, SENTENCES.values()))
-    s = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(F.expr(sentences), lambda x: F.length(x) > 0).alias("s"))
-    lines = f"filter(transform(split(x, '\\n'), y -> IF(length(y) <= {most}, {_identifier('y')}, NULL)), z -> z IS NOT NULL)"
-    ids = f"flatten(transform(transform(s, x -> struct(x AS x, IF(length(x) <= {most}, {_identifier('x')}, NULL) AS k)), p -> IF(p.k IS NULL, {lines.replace('split(x,', 'split(p.x,')}, array(p.k))))"
-    s = s.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.concat_ws(",", F.expr(ids)).alias("identifiers"))
+    s = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace(F.coalesce("text", F.lit("")), r"([.!?])[ \t\n\r]+", "$1" + _END).alias("marked"))
+    clauses = "\n\r:;)|"
+    words = F.regexp_replace(F.translate("marked", _UPPER + clauses + _CLAUSE, _LOWER + _CLAUSE * len(clauses) + " "), f"[^a-z0-9{_END}{_CLAUSE}]+", " ")
+    s = s.select("doc_id", F.size(F.filter(F.split("marked", _END), lambda x: F.length(x) > 0)).cast("long").alias("n_sentences"), F.regexp_extract_all(words, F.lit(_known_runs()), F.lit(1)).alias("runs"))
+    known = F.create_map(*(F.lit(x) for name, text in SENTENCES.items() for x in (text, name)))
+    s = s.select("doc_id", "n_sentences", F.concat_ws(",", F.transform("runs", lambda x: F.try_element_at(known, F.regexp_replace(x, f"[ {_CLAUSE}]+", " ")))).alias("identifiers"))
     row = F.concat(F.lit(","), "identifiers", F.lit(","))
     fits = [(name, row.contains("," + ",".join(seq) + ","), verdict) for name, seq, verdict in RULES]
     licences = F.array_distinct(F.filter(F.array(*(F.when(fit, name) for name, fit, _ in fits)), lambda x: x.isNotNull()))
