@@ -1,8 +1,12 @@
 r"""Operator 3, WARC derivatives: metadata and plain-text conversion records linked to their responses.
 
 A response (record id, target uri, date, HTTP head, body) gives two records that refer to it.  The conversion holds the body's
-plain text; the metadata holds the response's content type and length, the digests of its payload and of the text, and the
-number of links.  Both name the source's payload digest.  Digests are sha256.
+plain text: comments, scripts, styles and tags go, the title and navigation stay, and every entity of HTML is decoded.  The metadata
+holds the response's whole head (``source-status``, and a ``source-header-NAME`` for each header line), its content type and length, the
+digests of its payload and of the text, and the number of links.  Both name the source's payload digest.  Digests are sha256.
+
+OP3_SQL fixes a smaller text (without head and nav, six entities decoded) and no head fields.  The query ``op3_warc`` keeps to it, by
+``derivatives(..., as_sql=True)``; ``op3_warc_whole`` writes whole records.
 
 Files are written by Spark's text writer: a WARC record is head, block and an empty line pair, and that pair is the line end.
 :func:`read_warc` reads them back by Content-Length, so a block may hold anything.
@@ -14,6 +18,7 @@ extra columns are ignored; an empty table gives no file.
 from __future__ import annotations
 
 import hashlib
+import html
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +30,7 @@ from .shared import new_folder, read_table
 LINE_END = "\r\n\r\n"
 RECORDS_PER_FILE = 20_000
 _HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-#: Steps from HTML to text: (pattern valid for Java and RE2, replacement).
+#: Steps from HTML to text as OP3_SQL has them: (pattern valid for Java and RE2, replacement).
 STEPS = (
     (r"(?is)<!--.*?-->", " "),
     (r"(?is)<script\b.*?</script\s*>", " "),
@@ -43,6 +48,10 @@ STEPS = (
     (r"[ \t\r]+", " "),
     (r" ?\n[ \n]*", "\n"),
 )
+_ENTITIES = [k for k, (pattern, _) in enumerate(STEPS) if pattern.startswith("&")]
+#: Steps of a whole text before and after its entities are decoded: head and nav stay, as blocks; a no-break space is a space.
+_TAGS = tuple((p.replace("|body|html)", "|body|html|head|title|nav)"), to) for p, to in STEPS[: _ENTITIES[0]] if not p.startswith((r"(?is)<head", r"(?is)<nav")))
+_SPACES = ((r"\u00a0", " "), *STEPS[_ENTITIES[-1] + 1 :])
 
 
 def _uuid(seed: F.Column) -> F.Column:
@@ -51,10 +60,33 @@ def _uuid(seed: F.Column) -> F.Column:
     return F.concat(F.lit("<urn:uuid:"), cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-"), cut(13, 4), F.lit("-"), cut(17, 4), F.lit("-"), cut(21, 12), F.lit(">"))
 
 
-def plain_text(html: F.Column) -> F.Column:
-    for pattern, to in STEPS:
-        html = F.regexp_replace(html, pattern, to)
-    return F.trim(F.regexp_replace(html, r"^\n|\n$", ""))
+def _steps(x: F.Column, steps: tuple) -> F.Column:
+    for pattern, to in steps:
+        x = F.regexp_replace(x, pattern, to)
+    return x
+
+
+def _unescape(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        yield pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
+
+
+def plain_text(body: F.Column, as_sql: bool = False) -> F.Column:
+    """The text of HTML, whole or as OP3_SQL has it; named and numeric entities are decoded once, as browsers do."""
+    if as_sql:
+        body = _steps(body, STEPS)
+    else:
+        body = _steps(F.arrow_udf(_unescape, "string")(_steps(body, _TAGS)), _SPACES)
+    return F.trim(F.regexp_replace(body, r"^\n|\n$", ""))
+
+
+def _head_fields(head: F.Column) -> F.Column:
+    """A field for each line of an HTTP head, in order; folded lines are joined, and a line without a colon is a source-line."""
+    lines = F.filter(F.split(F.regexp_replace(head, r"[ \t]*\r?\n[ \t]+", " "), r"\r?\n|\r"), lambda x: F.trim(x) != "")
+    field = lambda x: F.when(x.rlike("^[^ \t:]+[ \t]*:"), F.concat(F.lit("source-header-"), F.regexp_replace(x, r"^([^ \t:]+)[ \t]*:[ \t]*", "$1: ")))
+    status = lambda x, i: (i == 0) & x.rlike("^HTTP/")
+    fields = F.transform(lines, lambda x, i: F.when(status(x, i), F.concat(F.lit("source-status: "), x)).otherwise(F.coalesce(field(x), F.concat(F.lit("source-line: "), x))))
+    return F.array_join(F.transform(fields, lambda x: F.concat(x, F.lit("\r\n"))), "")
 
 
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -63,14 +95,14 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
     return pages.select(_uuid(F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit("|"), url)).alias("record_id"), url.alias("target_uri"), F.lit(date).alias("date"), F.lit(_HEAD).alias("http_head"), F.coalesce("html", F.lit("")).alias("body"))
 
 
-def derivatives(source: DataFrame) -> DataFrame:
-    """Response records to (record_id, record_type, refers_to, target_uri, head, block): two records each."""
+def derivatives(source: DataFrame, as_sql: bool = False) -> DataFrame:
+    """Response records to (record_id, record_type, refers_to, target_uri, head, block): two records each, whole or as OP3_SQL has them."""
     digest = F.concat(F.lit("sha256:"), F.sha2("body", 256))
-    s = source.withColumn("payload_digest", digest).withColumn("text", plain_text(F.col("body")))
-    s = s.withColumn("source_type", F.regexp_extract("http_head", r"(?i)content-type: *([^\r\n]*)", 1))
+    s = source.withColumn("http_head", F.coalesce("http_head", F.lit(""))).withColumn("payload_digest", digest).withColumn("text", plain_text(F.col("body"), as_sql))
+    s = s.withColumn("source_type", F.regexp_extract("http_head", r"(?im)^content-type[ \t]*:[ \t]*([^\r\n]*)", 1))
     links = F.regexp_count("body", F.lit(r"(?i)<a\b[^>]*\bhref="))
     fields = F.concat(
-        F.lit("source-content-type: "), "source_type", F.lit("\r\nsource-content-length: "), F.octet_length("body").cast("string"), F.lit("\r\nsource-payload-digest: "), "payload_digest",
+        F.lit("") if as_sql else _head_fields(F.col("http_head")), F.lit("source-content-type: "), "source_type", F.lit("\r\nsource-content-length: "), F.octet_length("body").cast("string"), F.lit("\r\nsource-payload-digest: "), "payload_digest",
         F.lit("\r\ntext-digest: sha256:"), F.sha2("text", 256), F.lit("\r\noutlinks: "), links.cast("string"), F.lit("\r\n"),
     )
     kind = lambda name, mime, block: F.struct(F.lit(name).alias("record_type"), F.lit(mime).alias("mime"), block.alias("block"))
@@ -122,12 +154,21 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInArrow(_parse, ", ".join(f"{k} string" for k, _ in _KINDS) + ", block_bytes long, block binary")
 
 
-def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _written(spark: SparkSession, sf_dir: str, as_sql: bool) -> DataFrame:
     folder = new_folder(spark, "warc")
-    write_warc(derivatives(responses(read_table(spark, sf_dir, "pages"))), folder)
+    write_warc(derivatives(responses(read_table(spark, sf_dir, "pages")), as_sql), folder)
     return read_warc(spark, folder).drop("block")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir, as_sql=True)
+
+
+def op3_warc_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op3_warc with whole records: all entities, title and nav, and the source's whole head."""
+    return _written(spark, sf_dir, as_sql=False)
+
+
 def _text_sql(x: str) -> str:
     for pattern, to in STEPS:
         x = f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace(chr(39), chr(39) * 2)}', 'g')"
