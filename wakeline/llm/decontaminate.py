@@ -8,7 +8,7 @@ of the larger, SIMILARITY or more.  Windows without any shingle of an item have
 this loses nothing.
 
 The items are broadcast, ITEMS_AT_ONCE at a time (a long benchmark takes several passes).  Null or empty texts and items without
-words match nothing; repeated documents are judged alike; of items with one id and one text, one counts.
+words match nothing, nor does a benchmark without any item; repeated documents are judged alike; of items with one id and one text, one counts.
 """
 
 from __future__ import annotations
@@ -89,6 +89,8 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
 def match_document(words: np.ndarray, grams: np.ndarray, index: ItemIndex) -> dict[int, tuple[float, int, int]]:
     """Per item that a document holds: (similarity, first word, words) of its best and then first window."""
     best: dict[int, tuple[float, int, int]] = {}
+    if not index.by_length:
+        return best
     n_words = len(words)
     at = np.searchsorted(index.vocabulary, grams)
     hit = index.vocabulary[np.minimum(at, len(index.vocabulary) - 1)] == grams
