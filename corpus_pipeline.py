@@ -6,7 +6,8 @@ benchmark   documents that hold a benchmark item go
 mixing      sources are repeated to their target weights
 tokens      token shards are written and read back: a row for each document of the mix
 
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``.  The stages language and benchmark judge and reject rows by id and text together, so
+null ids are judged too, and one id on two texts is judged by each text; near_copies rejects by id alone.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ SCORE = 0.34
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language; the model learns from the documents that are not held out."""
-    found = language_id.predict(docs, language_id.learn(docs))
-    out = stored(found.where((F.col("lang_pred") == language_id.UND) | (F.col("score") < SCORE)).select("doc_id").distinct(), "rejected")
-    return _without(docs, out)
+    found = language_id.predict(_keyed(docs), language_id.learn(docs))
+    out = stored(found.where((F.col("lang_pred") == language_id.UND) | (F.col("score") < SCORE)).select(F.col("doc_id").alias("_row")).distinct(), "rejected")
+    return _without_rows(docs, out)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +42,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents with a window that is a benchmark item, or 0.75 of one."""
-    found = decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
-    return _without(docs, stored(found.where("doc_id IS NOT NULL").select("doc_id").distinct(), "leaks"))
+    found = decontaminate.contaminated(_keyed(docs), read_table(spark, sf_dir, "benchmark"))
+    return _without_rows(docs, stored(found.select(F.col("doc_id").alias("_row")).distinct(), "leaks"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +56,24 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_output.token_output(docs)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _row() -> F.Column:
+    """A hash of id and text, never null; a null is told from an empty text and from any id."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the row hash for the id, for operators that only hand the id through."""
+    return docs.select(_row().alias("doc_id"), "text")
+
+
+def _without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without the rows of some row hashes."""
+    return _without(docs.withColumn("_row", _row()), rows, "_row").select(*docs.columns)
+
+
+def _without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs without some ids: those are broadcast behind a count, and joined by a shuffle beyond it."""
-    return docs.join(F.broadcast(ids) if small(ids) else ids.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(ids) if small(ids) else ids.hint("merge"), key, "left_anti").select(*docs.columns)
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("benchmark", benchmark), ("mixing", mix), ("tokens", tokens)]
