@@ -43,6 +43,6 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def keep_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of df whose key is in ids (distinct): broadcast behind a count, a shuffled semi join beyond it."""
+def keep_ids(df: DataFrame, ids: DataFrame, key: str | list[str]) -> DataFrame:
+    """Rows of df whose key (or keys) is in ids (distinct): broadcast behind a count, a shuffled semi join beyond it."""
     return df.join(F.broadcast(ids) if small(ids) else ids.hint("merge"), key, "left_semi")

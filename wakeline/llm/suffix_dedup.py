@@ -2,7 +2,7 @@
 
 1.  Anchors.  Among the hashes of the ANCHOR-byte strings inside a window, the smallest (the first of equal ones) is the window's
     anchor.  Equal windows have their anchors at the same place, so only windows whose anchor string recurs can recur.
-    Anchors (one for each 130 bytes or so) are dealt by hash and sorted; those that occur once go.
+    Anchors (one for each 130 bytes or so) are counted by hash; those that occur once go.
 2.  Contexts.  A recurring anchor is sent with the bytes to its left and right that windows around it can reach.
 3.  Suffixes.  The suffixes that begin at the anchors are put in order deep-shallow: a multikey quicksort on characters of eight
     bytes to a shallow depth, then a blind trie for each group that is still equal.  The reversed left sides are ordered
@@ -10,14 +10,20 @@
     and the same WINDOW - l on the right: both are classes of neighbours in the two orders.
 4.  All windows of an anchor hold it, so the bytes they cover run from the first to the last; documents merge these runs.
 
-A posting with more than HOT members is not sent as contexts: its windows are hashed (128 bits), dealt by hash and counted.
+A group that more than GROUP_ROWS members share is not sorted in one task.  It is split by the bytes that come next: its windows are cut
+into ranges of l (WIDTHS wide, finer from level to level), and members meet in a range only if all bytes that every window of the
+range holds are equal.  Members that agree in all bytes of all windows of a range are settled as they are, and one stands for them
+from there on.  What is left of at most GROUP_ROWS is sorted as above; the finest ranges are single windows, settled by their count.
+
 Equal texts are one node (a 64-bit hash of the text); a text of WINDOW bytes or more that occurs twice is removed whole.
-A null text is empty; texts below WINDOW bytes keep all; repeated rows are copies of each other; ids may be null.
+A null text is empty; texts below WINDOW bytes keep all; repeated rows are copies of each other; ids may be null.  An empty table gives
+an empty result.  Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import mix64, powers, prefix_hash, slices, utf8
-from .shared import keep_ids, read_table, stored
+from .shared import keep_ids, read_table, small, stored
 
 _U = np.uint64
 WINDOW = 400
@@ -35,7 +41,10 @@ ANCHOR = 128
 REACH = WINDOW - ANCHOR
 #: Depth in bytes, after the anchor itself, to which suffixes are ordered by quicksort; deeper ties go to blind tries.
 SHALLOW = 16
-HOT = 50_000
+#: A group of more members is split by its next bytes instead of sorted in one task (about 700 bytes a member).
+GROUP_ROWS = 8_192
+#: How many windows a range holds, level by level.
+WIDTHS = (32, 4, 1)
 CHUNK = 4 << 20
 
 
@@ -94,41 +103,67 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(nodes[i:j][doc]), pa.array((at - off[doc]).astype(np.int32))], names=["h", "node", "pos"])
 
 
-def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by all columns, streamed: without repeated rows, and without values of the first column that one row has."""
-    held, told, names = None, False, None
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, list[dict]]]:
+    """(node, text, anchors) sorted by node, each node once."""
+    last = None
     for batch in batches:
-        names = batch.schema.names
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if not len(cols[0]):
-            continue
-        if held is not None:
-            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-        at = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)]))
-        h = cols[0][at]
-        again = np.concatenate([[False], h[1:] == h[:-1]])
-        out = again | np.concatenate([again[1:], [False]])
-        rows = at[1:][out[1:]] if told else at[out]
-        held, told = [c[at[-1:]] for c in cols], bool(out[-1] or (told and len(at) == 1))
-        if len(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(c[rows]) for c in cols], names=names)
+        for node, text, anchors in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            if node != last:
+                yield node, text.as_buffer().to_pybytes(), anchors
+            last = node
+
+
+_CONTEXT = "k1 long, k2 long, node long, pos int, lft binary, rgt binary"
+
+
+def _batches(rows: Iterator[tuple], kinds: tuple, names: list[str], most: int = 4096) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text, anchors of (pos, h)) to (h, node, pos, lft, rgt)."""
-    for batch in batches:
-        h_out, node_out, pos_out, left, right = [], [], [], [], []
-        for node, text, anchors in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            raw = text.as_buffer().to_pybytes()
+    """(node, text, anchors of (pos, k1, k2, low, high)) to contexts: the bytes that windows of l from low to high hold on either side."""
+
+    def rows() -> Iterator[tuple]:
+        for node, raw, anchors in _once(batches):
             for a in anchors:
                 p = a["pos"]
-                h_out.append(a["h"])
-                node_out.append(node)
-                pos_out.append(p)
-                left.append(raw[max(0, p - REACH) : p])
-                right.append(raw[p : p + WINDOW])
-        if h_out:
-            yield pa.RecordBatch.from_arrays([pa.array(h_out, pa.int64()), pa.array(node_out, pa.int64()), pa.array(pos_out, pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["h", "node", "pos", "lft", "rgt"])
+                yield a["k1"], a["k2"], node, p, raw[max(0, p - a["high"]) : p], raw[p : p + WINDOW - a["low"]]
+
+    yield from _batches(rows(), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), ["k1", "k2", "node", "pos", "lft", "rgt"])
+
+
+_RANGE = "c1 long, c2 long, o1 long, o2 long, node long, pos int, low int, high int"
+
+
+def _ranges(width: int):
+    """(node, text, anchors of (pos, low, high)) to the ranges of width windows in them: hashes of the bytes that all windows of a range hold (c1, c2), and of all bytes that any holds (o1, o2)."""
+
+    def pair(*parts: bytes) -> tuple[int, int]:
+        return struct.unpack("<qq", hashlib.blake2b(b"".join(parts), digest_size=16).digest())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for node, raw, anchors in _once(batches):
+                for a in anchors:
+                    p = a["pos"]
+                    for first in range(a["low"] // width * width, a["high"] + 1, width):
+                        last = min(first + width - 1, REACH)
+                        low, high = max(first, p + WINDOW - len(raw)), min(last, p)
+                        if low <= high:
+                            core = pair(struct.pack("<hh", first, last), raw[p - first : p + WINDOW - last])
+                            yield *core, *pair(struct.pack("<hh", low, high), raw[p - high : p + WINDOW - low]), node, p, low, high
+
+        kinds = (*[pa.int64()] * 5, pa.int32(), pa.int32(), pa.int32())
+        yield from _batches(rows(), kinds, ["c1", "c2", "o1", "o2", "node", "pos", "low", "high"])
+
+    return run
 
 
 class BlindTrie:
@@ -184,17 +219,48 @@ class BlindTrie:
         return out
 
 
+def multikey_quicksort(group: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """An order of rows of chars within equal values of group, and the runs of rows that are equal in all characters.
+
+    All segments are partitioned side by side, each round once, into less than, equal to and greater than a pivot of their own (the median of
+    three) in their own column; the equal part goes on to the next column.
+    """
+    n, depth = chars.shape
+    order = np.argsort(group, kind="stable")
+    cuts = np.flatnonzero(group[order[1:]] != group[order[:-1]]) + 1
+    start, end = np.concatenate([[0], cuts]).astype(np.int64), np.concatenate([cuts, [n]]).astype(np.int64)
+    column, equal = np.zeros(len(start), dtype=np.int64), []
+    while True:
+        big = end - start > 1
+        done = big & (column == depth)
+        equal += zip(start[done].tolist(), end[done].tolist(), strict=True)
+        start, end, column = (x[big & ~done] for x in (start, end, column))
+        if not len(start):
+            return order, equal
+        size = end - start
+        seg = np.repeat(np.arange(len(start)), size)
+        base = np.cumsum(size) - size
+        place = np.arange(len(seg)) - base[seg] + start[seg]
+        rows = order[place]
+        value = chars[rows, column[seg]]
+        three = np.sort(np.stack([chars[order[at], column] for at in (start, (start + end) // 2, end - 1)]), axis=0)[1][seg]
+        less, more = value < three, value > three
+        same = ~(less | more)
+        rank = lambda mark: np.cumsum(mark) - np.concatenate([[0], np.cumsum(mark)])[base][seg] - 1
+        n_less, n_same = np.bincount(seg[less], minlength=len(start)), np.bincount(seg[same], minlength=len(start))
+        to = start[seg] + np.where(less, rank(less), np.where(same, n_less[seg] + rank(same), (n_less + n_same)[seg] + rank(more)))
+        order[to] = rows
+        one, two = start + n_less, start + n_less + n_same
+        start, end, column = np.concatenate([start, one, two]), np.concatenate([one, two, end]), np.concatenate([column, column + 1, column])
+
+
 def deep_shallow_order(group: np.ndarray, strings: list[bytes], skip: int) -> np.ndarray:
-    """An order of strings within equal values of group: quicksort by eight-byte characters from skip on, then blind tries."""
-    n = len(strings)
-    wide = np.frombuffer(b"".join(s[skip : skip + SHALLOW].ljust(SHALLOW, b"\0") for s in strings), dtype=">u8").reshape(n, -1).astype(_U)
-    order = np.lexsort((*wide.T[::-1], group))
-    same = np.concatenate([[False], (group[order[1:]] == group[order[:-1]]) & (wide[order[1:]] == wide[order[:-1]]).all(axis=1)])
-    bounds = [*np.flatnonzero(~same).tolist(), n]
-    for i, j in zip(bounds, bounds[1:], strict=False):
-        if j - i > 1:
-            members = order[i:j]
-            order[i:j] = members[BlindTrie([strings[m] for m in members.tolist()]).ordered()]
+    """An order of strings within equal values of group: multikey quicksort on eight-byte characters from skip on, then blind tries."""
+    chars = np.frombuffer(b"".join(s[skip : skip + SHALLOW].ljust(SHALLOW, b"\0") for s in strings), dtype=">u8").reshape(len(strings), -1).astype(_U)
+    order, equal = multikey_quicksort(group, chars)
+    for i, j in equal:
+        members = order[i:j]
+        order[i:j] = members[BlindTrie([strings[m] for m in members.tolist()]).ordered()]
     return order
 
 
@@ -246,12 +312,13 @@ _SPAN = "node long, first int, last int"
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, node, pos, lft, rgt) sorted by h to the removed runs (node, first, last) of each member, last excluded."""
+    """Contexts sorted by (k1, k2) to the removed runs (node, first, last) of each member, last excluded."""
     held: list[tuple] = []
 
     def settle(rows: list[tuple]) -> pa.RecordBatch | None:
-        h, node, pos = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
-        most, fewest = recurring_reach(h, [r[3] for r in rows], [r[4] for r in rows])
+        k1, k2, node, pos = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
+        group = np.concatenate([[0], np.cumsum((k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))])
+        most, fewest = recurring_reach(group, [r[4] for r in rows], [r[5] for r in rows])
         ok = most >= 0
         if not ok.any():
             return None
@@ -260,28 +327,17 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         held += list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        while len(held) > 20_000 and held[0][0] != held[-1][0]:
+        while len(held) > 20_000 and held[0][:2] != held[-1][:2]:
             cut = len(held) - 1
-            while held[cut - 1][0] == held[cut][0]:
+            while held[cut - 1][:2] == held[cut][:2]:
                 cut -= 1
-            if (out := settle(list(dict.fromkeys(held[:cut])))) is not None:
+            if (out := settle(held[:cut])) is not None:
                 yield out
             held = held[cut:]
-    if held and (out := settle(list(dict.fromkeys(held)))) is not None:
+    if held and (out := settle(held)) is not None:
         yield out
 
 
-def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text, anchors) to (w, w2, node, pos) of every window around the anchors: 128 bits of hash."""
-    for batch in batches:
-        for node, text, anchors in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            raw = text.as_buffer().to_pybytes()
-            starts = sorted({s for a in anchors for s in range(max(0, a["pos"] - REACH), a["pos"] + 1) if s + WINDOW <= len(raw)})
-            if starts:
-                both = np.frombuffer(b"".join(hashlib.blake2b(raw[s : s + WINDOW], digest_size=16).digest() for s in starts), dtype=np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([node] * len(starts), pa.int64()), pa.array(starts, pa.int32())], names=["w", "w2", "node", "pos"])
-
-
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for first, last in sorted(spans):
@@ -293,59 +349,92 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text, spans) to (node, kept, removed, runs): the remaining bytes and the merged runs."""
+    """(doc_id, text, spans) to (doc_id, n_bytes, n_removed, n_spans, kept): the remaining bytes after the merged runs."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
     for batch in batches:
-        kept, runs = [], []
+        kept, sizes, runs = [], [], []
         for text, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
             raw = text.as_buffer().to_pybytes()
             own = merge_spans([(s["first"], s["last"]) for s in spans])
             ends = [0, *(x for run in own for x in run), len(raw)]
             kept.append(b"".join(raw[ends[k] : ends[k + 1]] for k in range(0, len(ends), 2)))
-            runs.append(own)
-        out = pa.array([[{"first": a, "last": b} for a, b in r] for r in runs], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), out], names=["node", "kept", "runs"])
+            sizes.append(len(raw))
+            runs.append(len(own))
+        cols = [pa.array(sizes, pa.int64()), pa.array([n - len(k) for n, k in zip(sizes, kept, strict=True)], pa.int64()), pa.array(runs, pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array(kept, pa.binary())], names=names)
+
 
+def _as_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        yield pa.array([t.decode(errors="ignore") for t in texts.to_pylist()], pa.string())
 
-def recurring_spans(docs: DataFrame) -> DataFrame:
-    """docs (node, text) to (node, spans): for each node with any, the array of (first, last) of its recurring bytes."""
-    found = docs.mapInArrow(_emit_anchors, "h long, node long, pos int").repartition("h").sortWithinPartitions("h", "node", "pos")
-    anchors = stored(found.mapInArrow(_recurring, "h long, node long, pos int"), "anchors")
-    hot = stored(anchors.groupBy("h").count().where(F.col("count") > HOT).select("h"), "hot")
+
+def _one_a_node(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes: the row with the node's smallest id; of rows that repeat id and text, one."""
+    firsts = stored(nodes.join(wanted.hint("merge"), "node", "left_semi").select("node", "id", "again"), "firsts")
+    some = keep_ids(docs, firsts.where("NOT again").select("node", "id"), ["node", "id"]).select("node", "text")
+    again = firsts.where("again").select("node", "id")
+    return some if again.isEmpty() else some.union(keep_ids(docs, again, ["node", "id"]).select("node", "text").dropDuplicates(["node"]))
+
+
+def recurring_spans(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """docs (node, id, text) to (node, spans): for each node with any, the array of (first, last) of its recurring bytes."""
+    found = stored(docs.select("node", "text").mapInArrow(_emit_anchors, "h long, node long, pos int"), "anchors")
+    place = F.xxhash64("node", "pos")
+    groups = found.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h", (F.col("n") > GROUP_ROWS).alias("large"))
+    groups = stored(groups, "groups")
+    anchors = found.join(F.broadcast(groups) if small(groups) else groups.hint("merge"), "h")
+    anchors = stored(anchors.select("node", "pos", F.col("h").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(0).alias("low"), F.lit(REACH).alias("high"), "large"), "recurring")
+    texts = stored(_one_a_node(docs, nodes, anchors.select("node").distinct()), "texts")
 
     def with_text(rows: DataFrame) -> DataFrame:
-        own = rows.groupBy("node").agg(F.collect_list(F.struct("pos", "h")).alias("anchors"))
-        texts = keep_ids(docs, stored(rows.select("node").distinct(), "wanted"), "node")
-        return texts.join(own.hint("merge"), "node").select("node", "text", "anchors")
-
-    contexts = with_text(anchors.join(hot.hint("merge"), "h", "left_anti")).mapInArrow(_contexts, "h long, node long, pos int, lft binary, rgt binary")
-    spans = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_spans, _SPAN)
-    if not hot.isEmpty():
-        windows = with_text(anchors.join(hot.hint("merge"), "h", "left_semi")).mapInArrow(_hot_windows, "w long, w2 long, node long, pos int")
-        windows = windows.withColumn("w", F.struct("w", "w2")).drop("w2")
-        counted = windows.groupBy("w").agg(F.min(F.struct("node", "pos")).alias("lo"), F.max(F.struct("node", "pos")).alias("hi")).where("lo <> hi").select("w")
-        spans = spans.union(windows.join(counted.hint("merge"), "w").select("node", F.col("pos").alias("first"), (F.col("pos") + WINDOW).alias("last")))
+        own = rows.groupBy("node").agg(F.collect_set(F.struct("pos", "k1", "k2", "low", "high")).alias("anchors"))
+        return texts.join(own.hint("merge"), "node").select("node", "text", "anchors").sortWithinPartitions("node")
+
+    def by_sorting(rows: DataFrame) -> DataFrame:
+        contexts = with_text(rows).mapInArrow(_contexts, _CONTEXT)
+        return stored(contexts.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(_spans, _SPAN), "sorted")
+
+    spans, open_ = by_sorting(anchors.where("NOT large")), anchors.where("large")
+    for width in WIDTHS:
+        if open_.isEmpty():
+            break
+        ranges = stored(with_text(open_).mapInArrow(_ranges(width), _RANGE), "ranges")
+        outer = stored(ranges.groupBy("o1", "o2").agg(F.count("*").alias("n"), F.min(place).alias("stands")), "outer")
+        alike = ranges.join(outer.where("n > 1").select("o1", "o2").hint("merge"), ["o1", "o2"], "left_semi")
+        spans = spans.union(alike.select("node", (F.col("pos") - F.col("high")).alias("first"), (F.col("pos") - F.col("low") + WINDOW).alias("last")))
+        if width == 1:
+            break
+        rest = ranges.withColumn("stands", place).join(outer.select("o1", "o2", "stands").hint("merge"), ["o1", "o2", "stands"], "left_semi")
+        core = stored(rest.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1"), "core").select("c1", "c2", (F.col("n") > GROUP_ROWS).alias("large"))
+        rest = stored(rest.join(core.hint("merge"), ["c1", "c2"]).select("node", "pos", F.col("c1").alias("k1"), F.col("c2").alias("k2"), "low", "high", "large"), "open")
+        spans, open_ = spans.union(by_sorting(rest.where("NOT large"))), rest.where("large")
     return stored(spans.groupBy("node").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) to (doc_id, n_bytes, n_removed, n_spans, kept_sha256), a row for each row of docs."""
+    """docs (doc_id, text, ...) to (doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated, kept_text), a row for each row of docs.
+
+    kept_text is the remaining bytes as text; a character of which only some bytes remain is left out there (not in the digest).
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("node", F.xxhash64("text"))
-    spans = recurring_spans(docs.select("node", "text"))
-    base = docs.select("doc_id", "node", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    copies = base.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("one")).where("copies > 1").select("node", F.lit(True).alias("copied"))
-    texts = keep_ids(docs, stored(spans.select("node"), "cut"), "node").select("node", "text")
-    cut = texts.join(spans.hint("merge"), "node").select("node", "text", "spans").mapInArrow(_cut, "node long, kept binary, runs array<struct<first:int,last:int>>")
-    cut = cut.select("node", F.sha2("kept", 256).alias("part"), F.octet_length("kept").cast("long").alias("n_kept"), F.size("runs").cast("long").alias("n_runs")).dropDuplicates(["node"])
-    out = base.join(copies.hint("merge"), "node", "left").join(cut.hint("merge"), "node", "left")
-    gone = F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= WINDOW)
-    return out.select(
-        "doc_id",
-        "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce(F.col("n_bytes") - F.col("n_kept"), F.lit(0))).cast("long").alias("n_removed"),
-        F.when(gone, F.lit(1)).otherwise(F.coalesce("n_runs", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("part", "whole")).alias("kept_sha256"),
-    )
+    docs = docs.withColumn("node", F.xxhash64("text")).withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    nodes = docs.groupBy("node", "id").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size"))
+    nodes = nodes.groupBy("node").agg(F.min("id").alias("id"), (F.max("n") > 1).alias("again"), F.sum("n").alias("copies"), F.max("size").alias("size"))
+    nodes = stored(nodes, "nodes")
+    whole = stored(nodes.where((F.col("copies") > 1) & (F.col("size") >= WINDOW)).select("node"), "whole")
+    spans = recurring_spans(docs, nodes)
+    cut = stored(spans.join(whole.hint("merge"), "node", "left_anti"), "cut")
+    other = stored(whole.union(cut.select("node")), "other")
+    size = F.octet_length("text").cast("long")
+    none, no_text = F.lit(0).cast("long"), F.lit("")
+    left = docs.join(F.broadcast(other) if small(other) else other.hint("merge"), "node", "left_anti")
+    left = left.select("doc_id", size.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.lit(False).alias("repeated"), F.col("text").alias("kept_text"))
+    gone = keep_ids(docs, whole, "node").select("doc_id", size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(no_text, 256).alias("kept_sha256"), F.lit(True).alias("repeated"), no_text.alias("kept_text"))
+    part = keep_ids(docs, cut.select("node"), "node").join(cut.hint("merge"), "node").select("doc_id", "text", "spans")
+    part = part.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    part = part.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.lit(True).alias("repeated"), F.arrow_udf(_as_text, "string")("kept").alias("kept_text"))
+    return left.union(gone).union(part)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
