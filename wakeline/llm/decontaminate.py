@@ -2,13 +2,17 @@
 
 Every run of as many words as a benchmark item has is a window (a shorter text is one window by itself).  A window and an item
 are each a bag of 5-word shingles.  A 64-bit SimHash of the bag is cut into BLOCKS parts; two hashes within RADIUS differ by
-at most RADIUS // BLOCKS bits in some part, so looking up all part values that near finds every item within the radius.
-Candidates are verified by the exact weighted similarity of the bags: the sum of the smaller multiplicities over the sum
-of the larger, SIMILARITY or more.  Windows without any shingle of an item have similarity 0 with all and are not hashed;
-this loses nothing.
+at most RADIUS // BLOCKS bits in some part, so looking up all part values that near in each part's postings finds every item within
+the radius.  Candidates are verified by the exact weighted similarity of the bags: the sum of the smaller multiplicities over the sum
+of the larger, SIMILARITY or more.
 
-The items are broadcast, ITEMS_AT_ONCE at a time (a long benchmark takes several passes).  Null or empty texts and items without
-words match nothing, nor does a benchmark without any item; repeated documents are judged alike; of items with one id and one text, one counts.
+Items that share no shingle with a document have similarity 0 with all of its windows, and so do windows without a shingle of any item:
+neither is looked up, which loses nothing, so a document meets the few items that it shares words with and not the benchmark.
+
+The items are broadcast, at most ITEMS_AT_ONCE rows and about BYTES_AT_ONCE bytes at a time; a long benchmark takes several passes, one after
+the other, each stored before the next begins.  Null or empty texts and items without words match nothing, nor does a benchmark without any
+item; repeated documents are judged alike; of items with one id and one text, one counts; an empty table gives an empty result; of equal
+windows the first is told.  Other columns of either table may have any name.
 """
 
 from __future__ import annotations
@@ -21,13 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import SHINGLE_WORDS, shingle_hashes, slices, utf8, word_hashes
-from .shared import read_table
+from .shared import read_table, stored
 
 _U = np.uint64
 SIMILARITY = 0.75
 BLOCKS = 8
 RADIUS = 23
 ITEMS_AT_ONCE = 20_000
+BYTES_AT_ONCE = 64 << 20
+#: Windows that are looked up at a time.
+WINDOWS_AT_ONCE = 4096
 
 
 def simhash(bags: list[np.ndarray]) -> np.ndarray:
@@ -40,41 +47,58 @@ def simhash(bags: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+_VALUES = np.arange(256, dtype=np.uint8)
+#: For each value of a part the values that are near enough.
+_NEAR = [np.flatnonzero(np.bitwise_count(_VALUES ^ np.uint8(v)) <= RADIUS // BLOCKS) for v in range(256)]
+
+
+def within_radius(windows: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (window, item) pairs of SimHashes within RADIUS, by postings of the items' parts."""
+    out = []
+    for b in range(BLOCKS):
+        shift, byte = _U(8 * b), _U(255)
+        own = (items >> shift & byte).astype(np.int64)
+        order = np.argsort(own, kind="stable")
+        at = np.searchsorted(own[order], np.arange(257))
+        values, which = np.unique((windows >> shift & byte).astype(np.int64), return_inverse=True)
+        by_value = np.split(np.argsort(which, kind="stable"), np.cumsum(np.bincount(which, minlength=len(values)))[:-1])
+        for v, rows in zip(values.tolist(), by_value, strict=True):
+            near = np.concatenate([order[at[u] : at[u + 1]] for u in _NEAR[v].tolist()])
+            if len(near):
+                w, i = np.repeat(rows, len(near)), np.tile(near, len(rows))
+                ok = np.bitwise_count(windows[w] ^ items[i]) <= RADIUS
+                out.append(w[ok] * len(items) + i[ok])
+    pairs = np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=np.int64)
+    return pairs // max(1, len(items)), pairs % max(1, len(items))
 
 
 class ItemIndex:
-    """Benchmark items by their number of words, with block tables of their SimHashes."""
+    """Benchmark items: their bags, SimHashes and numbers of words, and for each shingle the items that hold it."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.by_length: dict[int, dict] = {}
         buf, offsets = utf8(pa.array([t for _, t in items], pa.string()))
         words, _, _, first = word_hashes(buf, offsets)
         grams, starts = shingle_hashes(words, first)
-        for k, (item_id, _) in enumerate(items):
-            n = int(first[k + 1] - first[k])
-            if n:
-                self.by_length.setdefault(n, {"ids": [], "bags": []})
-                self.by_length[n]["ids"].append(item_id)
-                self.by_length[n]["bags"].append(np.sort(grams[starts[k] : starts[k + 1]]))
-        every = [b for g in self.by_length.values() for b in g["bags"]]
-        self.vocabulary = np.unique(np.concatenate(every)) if every else np.zeros(0, dtype=_U)
-        values = np.arange(256, dtype=np.uint8)
-        for group in self.by_length.values():
-            group["codes"] = simhash(group["bags"])
-            parts = group["codes"][:, None] >> (np.arange(BLOCKS, dtype=_U) * _U(8)) & _U(255)
-            # [block, value, item]: whether the value is near enough to the item's
-            group["near"] = np.stack([_popcount(values[:, None] ^ parts[:, b].astype(np.uint8)[None, :]) <= RADIUS // BLOCKS for b in range(BLOCKS)])
-
-    def candidates(self, codes: np.ndarray, group: dict) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs within RADIUS."""
-        found = np.zeros((len(codes), len(group["ids"])), dtype=bool)
-        for b in range(BLOCKS):
-            found |= group["near"][b][(codes >> _U(8 * b) & _U(255)).astype(np.int64)]
-        w, i = np.nonzero(found)
-        ok = _popcount(codes[w] ^ group["codes"][i]) <= RADIUS
-        return w[ok], i[ok]
+        some = [k for k in range(len(items)) if first[k + 1] > first[k]]
+        self.ids = [items[k][0] for k in some]
+        self.length = np.array([first[k + 1] - first[k] for k in some], dtype=np.int64)
+        self.bags = [np.sort(grams[starts[k] : starts[k + 1]]) for k in some]
+        self.codes = simhash(self.bags)
+        flat = np.concatenate(self.bags) if some else np.zeros(0, dtype=_U)
+        holder = np.repeat(np.arange(len(some)), [len(b) for b in self.bags]) if some else np.zeros(0, dtype=np.int64)
+        order = np.lexsort((holder, flat))
+        self.vocabulary, at = np.unique(flat[order], return_index=True)
+        self.holders, self.at = holder[order], np.append(at, len(flat))
+        self.short = sorted(set(self.length[self.length < SHINGLE_WORDS].tolist()))
+
+    def shared(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which shingles an item holds, and the items that hold any of them."""
+        if not len(self.vocabulary):
+            return np.zeros(len(grams), dtype=bool), np.zeros(0, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, grams), len(self.vocabulary) - 1)
+        hit = self.vocabulary[at] == grams
+        found = np.unique(at[hit]).tolist()
+        return hit, np.unique(np.concatenate([self.holders[self.at[v] : self.at[v + 1]] for v in found])) if found else np.zeros(0, dtype=np.int64)
 
 
 def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -89,57 +113,56 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
 def match_document(words: np.ndarray, grams: np.ndarray, index: ItemIndex) -> dict[int, tuple[float, int, int]]:
     """Per item that a document holds: (similarity, first word, words) of its best and then first window."""
     best: dict[int, tuple[float, int, int]] = {}
-    if not index.by_length:
-        return best
     n_words = len(words)
-    at = np.searchsorted(index.vocabulary, grams)
-    hit = index.vocabulary[np.minimum(at, len(index.vocabulary) - 1)] == grams
+    hit, items = index.shared(grams)
     hits = np.flatnonzero(hit)
-    short = [n for n in index.by_length if n < SHINGLE_WORDS and n < n_words]
-    if not len(hits) and not short:
-        return best
     bits = None
-    for n, group in index.by_length.items():
+
+    def settle(items: np.ndarray, starts: np.ndarray, codes: np.ndarray, size: int, bag_of) -> None:
+        for k in range(0, len(starts), WINDOWS_AT_ONCE):
+            for w, i in zip(*(x.tolist() for x in within_radius(codes[k : k + WINDOWS_AT_ONCE], index.codes[items])), strict=True):
+                start, item = int(starts[k + w]), int(items[i])
+                similarity = weighted_similarity(np.sort(bag_of(start)), index.bags[item])
+                own = index.ids[item]
+                if similarity >= SIMILARITY and (own not in best or similarity > best[own][0] or (similarity == best[own][0] and start < best[own][1])):
+                    best[own] = (similarity, start, size)
+
+    for n in index.short:
+        if n < n_words:  # windows below a shingle: their words are the shingle
+            pieces = np.concatenate([words[s : s + n] for s in range(n_words - n + 1)])
+            shingles, _ = shingle_hashes(pieces, np.arange(0, len(pieces) + 1, n))
+            held, holders = index.shared(shingles)
+            holders, starts = holders[index.length[holders] == n], np.flatnonzero(held)
+            if len(holders):
+                settle(holders, starts, simhash([shingles[s : s + 1] for s in starts]), n, lambda s, g=shingles: g[s : s + 1])
+    for n in np.unique(index.length[items]).tolist():
         size = min(n, n_words)
-        if size < SHINGLE_WORDS and size < n_words:  # windows below a shingle: their words are the shingle
-            pieces = np.concatenate([words[s : s + size] for s in range(n_words - size + 1)])
-            shingles, _ = shingle_hashes(pieces, np.arange(0, len(pieces) + 1, size))
-            starts = np.flatnonzero(np.isin(shingles, np.concatenate(group["bags"])))
-            bag_of = lambda s, g=shingles: g[s : s + 1]
-            codes = simhash([bag_of(s) for s in starts])
-        elif len(hits):
-            width = max(1, size - SHINGLE_WORDS + 1)
-            covered = np.zeros(len(grams) + 1, dtype=np.int32)
-            np.add.at(covered, np.maximum(hits - width + 1, 0), 1)
-            np.add.at(covered, hits + 1, -1)
-            starts = np.flatnonzero(np.cumsum(covered)[: len(grams) - width + 1] > 0)
-            if bits is None:  # votes of the shingles around the hits, added up
-                reach = max(1, min(max(index.by_length), n_words))
-                near = np.zeros(len(grams) + 1, dtype=np.int32)
-                np.add.at(near, np.maximum(hits - reach, 0), 1)
-                np.add.at(near, np.minimum(hits + reach, len(grams)), -1)
-                near = np.flatnonzero(np.cumsum(near)[: len(grams)] > 0)
-                place = np.full(len(grams) + 1, -1)
-                place[near] = np.arange(len(near))
-                votes = ((grams[near][:, None] >> np.arange(64, dtype=_U)) & _U(1)).astype(np.int32) * 2 - 1
-                bits = np.concatenate([np.zeros((1, 64), dtype=np.int32), np.cumsum(votes, axis=0)])
-            bag_of = lambda s, g=grams, w=width: g[s : s + w]
-            total = bits[place[starts + width - 1] + 1] - bits[place[starts]]
-            codes = ((total > 0).astype(_U) << np.arange(64, dtype=_U)).sum(axis=1, dtype=_U)
-        else:
+        if size < SHINGLE_WORDS and size < n_words:
             continue
-        w, items = index.candidates(codes, group)
-        for s, i in zip(starts[w].tolist(), items.tolist(), strict=True):
-            similarity = weighted_similarity(np.sort(bag_of(s)), group["bags"][i])
-            item = group["ids"][i]
-            if similarity >= SIMILARITY and (item not in best or similarity > best[item][0]):
-                best[item] = (similarity, s, size)
+        width = max(1, size - SHINGLE_WORDS + 1)
+        covered = np.zeros(len(grams) + 1, dtype=np.int32)
+        np.add.at(covered, np.maximum(hits - width + 1, 0), 1)
+        np.add.at(covered, hits + 1, -1)
+        starts = np.flatnonzero(np.cumsum(covered)[: len(grams) - width + 1] > 0)
+        if bits is None:  # votes of the shingles around the hits, added up
+            reach = max(1, min(int(index.length[items].max()), n_words))
+            near = np.zeros(len(grams) + 1, dtype=np.int32)
+            np.add.at(near, np.maximum(hits - reach, 0), 1)
+            np.add.at(near, np.minimum(hits + reach, len(grams)), -1)
+            near = np.flatnonzero(np.cumsum(near)[: len(grams)] > 0)
+            place = np.full(len(grams) + 1, -1)
+            place[near] = np.arange(len(near))
+            votes = ((grams[near][:, None] >> np.arange(64, dtype=_U)) & _U(1)).astype(np.int32) * 2 - 1
+            bits = np.concatenate([np.zeros((1, 64), dtype=np.int32), np.cumsum(votes, axis=0)])
+        total = bits[place[starts + width - 1] + 1] - bits[place[starts]]
+        codes = ((total > 0).astype(_U) << np.arange(64, dtype=_U)).sum(axis=1, dtype=_U)
+        settle(items[index.length[items] == n], starts, codes, size, lambda s, g=grams, w=width: g[s : s + w])
     return best
 
 
-def _match(index_of):
+def _match(items_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_of.value
+        index = ItemIndex(items_of.value)
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
             buf, offsets = utf8(batch.column(1))
@@ -163,14 +186,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    passes = max(1, -(-items.count() // ITEMS_AT_ONCE))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    passes = max(1, -(-size.n // ITEMS_AT_ONCE), -(-size.bytes // BYTES_AT_ONCE))
     out = None
     for k in range(passes):
         some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).orderBy("item_id", "text").collect()
-        if not some and k:
+        if not some and (k or passes > 1):
             continue
-        index = spark.sparkContext.broadcast(ItemIndex([(r.item_id, r.text) for r in some]))
-        found = docs.mapInArrow(_match(index), "doc_id long, item_id long, similarity double, first_word long, n_words long")
+        shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in some])
+        found = docs.mapInArrow(_match(shared), "doc_id long, item_id long, similarity double, first_word long, n_words long")
+        if passes > 1:  # so that the driver holds the items of one pass at a time
+            found = stored(found, "matches")
+            shared.destroy()
         out = found if out is None else out.union(found)
     return out
 
