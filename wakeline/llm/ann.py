@@ -1,99 +1,149 @@
 """Operator 7, approximate nearest neighbours by multi-index hashing.
 
-A rotation learned on a bounded sample (principal axes, then iterative quantisation) turns each vector into BITS signs.  Codes
-are cut into SUBSTRINGS parts, each with an index from its value to the rows that have it.  A code within RADIUS of the query's
-has, by the pigeonhole principle, some part within RADIUS // SUBSTRINGS of the query's part: probing those values in every index
-finds all codes within the radius.  They are ranked by the exact cosine in double precision.  Where fewer than k lie within
-the radius, it grows until k are found, so no query goes short.
+Rotations learned on a bounded sample (principal axes, then iterative quantisation from several starts) turn each vector into BITS signs, cut
+into SUBSTRINGS parts of 16.  Each part has an index from its value to the rows that have it.  Probing all values within REACH bits of
+the query's part, in every part, retrieves by the pigeonhole principle every code within a Hamming radius of RADIUS (a code beyond REACH in
+every part differs in more bits than that), and whatever else agrees that well in some part.  All that is retrieved is ranked by the
+exact cosine in double precision.  A query that retrieves fewer than FEWEST rows of a block (or k, if that is more) is compared with the
+whole block, so none goes short.
 
-Queries meet all rows in blocks: a grid of query blocks and data blocks of bounded size, dealt out by Spark, each cell with an index
-of its own; the cells' best k are merged.  No bucket has a cap.
+Vectors stay where they are read: a task indexes them in blocks of BLOCK_ROWS and sends on the k best of each query.  Queries are broadcast
+in slices of SLICE_BYTES or so, one after the other, and each slice's rows are stored before the next is sent.  No bucket has a cap.
 
 Vectors that are null, zero, hold null or non-finite components, or differ in length from the most common length of the
-sample take no part.  Rows that repeat a query's id count as the query's own row; of repeated queries one is asked.
+sample take no part.  Rows that repeat a query's id count as the query's own row; of repeated queries the smallest vector is asked; repeated
+rows are candidates of their own; ties go to the smaller id.  An empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import read_table, stored
 
 SAMPLE_ROWS = 4096
-BITS = 64
-SUBSTRINGS = 8
-#: Learned codes of the fixtures: 0.94 of the true five nearest lie within this distance (README).
-RADIUS = 28
-QUERY_BLOCK = 512
-DATA_BLOCK = 8192
-_POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
-
-
-def learn_rotation(vectors: np.ndarray, rounds: int = 30, seed: int = 7) -> np.ndarray:
-    """Columns of a projection whose signs are the code bits, for unit vectors of a sample."""
+ROTATION_BITS = 64
+ROTATIONS = 24
+BITS = ROTATIONS * ROTATION_BITS
+SUBSTRINGS = BITS // 16
+#: Bits in which a probed value may differ from the query's part, and the radius within which every code is retrieved.
+REACH = 2
+RADIUS = SUBSTRINGS * (REACH + 1) - 1
+BLOCK_ROWS = 16_384
+FEWEST = 512
+QUERIES_AT_ONCE = 256
+SLICE_BYTES = 32 << 20
+_MASKS = np.array([v for v in range(1 << 16) if v.bit_count() <= REACH], dtype=np.uint16)
+
+
+def learn_rotation(vectors: np.ndarray, rounds: int = 8, seed: int = 7) -> np.ndarray:
+    """Columns of a projection whose signs are ROTATION_BITS code bits, for unit vectors of a sample."""
     dim = vectors.shape[1]
     rng = np.random.default_rng(seed)
     axes = np.linalg.svd(vectors.T @ vectors)[0]
-    if dim < BITS:  # more bits than axes: random mixtures of them
-        axes = np.concatenate([axes, axes @ rng.normal(size=(dim, BITS - dim)) / np.sqrt(dim)], axis=1)
-    axes = axes[:, :BITS]
+    if dim < ROTATION_BITS:  # more bits than axes: random mixtures of them
+        axes = np.concatenate([axes, axes @ rng.normal(size=(dim, ROTATION_BITS - dim)) / np.sqrt(dim)], axis=1)
+    axes = axes[:, :ROTATION_BITS]
     projected = vectors @ axes
-    turn = np.linalg.qr(rng.normal(size=(BITS, BITS)))[0]
+    turn = np.linalg.qr(rng.normal(size=(ROTATION_BITS, ROTATION_BITS)))[0]
     for _ in range(rounds):
         u, _, v = np.linalg.svd(np.sign(projected @ turn).T @ projected)
         turn = (u @ v).T
     return axes @ turn
 
 
-def encode(vectors: np.ndarray, rotation: np.ndarray) -> np.ndarray:
-    """Codes as rows of BITS // 8 bytes."""
-    return np.packbits(vectors @ rotation > 0, axis=1)
+def learn_code(vectors: np.ndarray, seed: int = 7) -> np.ndarray:
+    return np.concatenate([learn_rotation(vectors, seed=seed + k) for k in range(ROTATIONS)], axis=1)
+
+
+def encode(vectors: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The parts of each vector's code, 16 bits each."""
+    return np.packbits(vectors @ code > 0, axis=1).view(">u2").astype(np.uint16)
 
 
 class MultiIndex:
-    """Per byte of the codes, an index from its value to rows."""
+    """Per part of the codes, an index from its value to rows."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.order = [np.argsort(codes[:, j], kind="stable") for j in range(SUBSTRINGS)]
-        self.at = [np.searchsorted(codes[o, j], np.arange(257)) for j, o in enumerate(self.order)]
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All rows whose code lies within the radius."""
-        found = np.zeros(len(self.codes), dtype=bool)
-        for j in range(SUBSTRINGS):
-            near = np.flatnonzero(_POP[np.arange(256) ^ code[j]] <= radius // SUBSTRINGS)
-            at, order = self.at[j], self.order[j]
-            found[np.concatenate([order[at[v] : at[v + 1]] for v in near])] = True
-        rows = np.flatnonzero(found)
-        return rows[_POP[self.codes[rows] ^ code].sum(axis=1) <= radius]
-
-
-def _search(rotation: np.ndarray, k: int):
-    def run(key, queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(data):
-            ids = data["vec_id"].to_numpy()
-            x = np.stack(data["embedding"].to_numpy()).astype(np.float64)
-            norms = np.sqrt((x * x).sum(axis=1))
-            index = MultiIndex(encode(x, rotation))
-            q = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
-            codes = encode(q, rotation)
-            for i, query_id in enumerate(queries["vec_id"].to_numpy()):
-                radius = RADIUS
-                while True:
-                    rows = index.within(codes[i], radius)
-                    rows = rows[ids[rows] != query_id]
-                    if len(rows) >= k or radius >= BITS:
-                        break
-                    radius += SUBSTRINGS
-                score = (x[rows] * q[i]).sum(axis=1) / (norms[rows] * np.sqrt((q[i] * q[i]).sum()))
-                best = np.lexsort((ids[rows], -score))[:k]
-                out += [(query_id, ids[rows[b]], score[b]) for b in best]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        self.n = len(codes)
+        self.order = [np.argsort(codes[:, j], kind="stable").astype(np.int32) for j in range(codes.shape[1])]
+        self.at = [np.concatenate([[0], np.cumsum(np.bincount(codes[:, j], minlength=1 << 16))]).astype(np.int32) for j in range(codes.shape[1])]
+
+    def retrieve(self, codes: np.ndarray) -> np.ndarray:
+        """[query, row]: whether probing retrieves the row."""
+        found = np.zeros((len(codes), self.n), dtype=bool)
+        flat = found.reshape(-1)
+        for j, (order, at) in enumerate(zip(self.order, self.at, strict=True)):
+            probes = (codes[:, j, None] ^ _MASKS).astype(np.int32)
+            low = at[probes].reshape(-1)
+            count = at[probes + 1].reshape(-1) - low
+            some = np.flatnonzero(count)
+            low, count = low[some], count[some]
+            rows = order[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
+            flat[np.repeat(some // len(_MASKS), count) * self.n + rows] = True
+        return found
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
+
+
+class _Best:
+    """The k best rows of each query so far."""
+
+    def __init__(self, k: int):
+        self.k, self.rows = k, (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        query, ids, score = (np.concatenate(x) for x in zip(self.rows, (query, ids, score), strict=True))
+        order = np.lexsort((ids, -score, query))
+        query = query[order]
+        begin = np.concatenate([[True], query[1:] != query[:-1]]) if len(query) else np.zeros(0, dtype=bool)
+        place = np.arange(len(query)) - np.maximum.accumulate(np.where(begin, np.arange(len(query)), 0))
+        keep = place < self.k
+        self.rows = query[keep], ids[order][keep], score[order][keep]
+
+
+def search_block(index: MultiIndex, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, q: np.ndarray, best: _Best) -> None:
+    """Adds a block's best rows for all queries."""
+    norms, q_norms = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
+    for i in range(0, len(q), QUERIES_AT_ONCE):
+        found = index.retrieve(codes[i : i + QUERIES_AT_ONCE])
+        own = query_ids[i : i + QUERIES_AT_ONCE, None] == ids
+        found &= ~own
+        found[found.sum(axis=1) < max(FEWEST, best.k)] = True
+        found &= ~own
+        a, rows = np.nonzero(found)
+        a += i
+        score = np.concatenate([np.einsum("ij,ij->i", x[rows[p : p + 65536]], q[a[p : p + 65536]]) for p in range(0, len(a), 65536)]) if len(a) else np.zeros(0)
+        best.add(a, ids[rows], score / (norms[rows] * q_norms[a]))
+
+
+def _search(shared, k: int, dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, query_ids, q = shared.value
+        codes, best, held, n = encode(q, code), _Best(k), [], 0
+
+        def settle() -> None:
+            block = pa.Table.from_batches(held).combine_chunks()
+            x = _matrix(block.column(1).combine_chunks(), dim)
+            search_block(MultiIndex(encode(x, code)), block.column(0).to_numpy(), x, codes, query_ids, q, best)
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= BLOCK_ROWS:
+                settle()
+                held, n = [], 0
+        if n:
+            settle()
+        a, ids, score = best.rows
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[a]), pa.array(ids), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -107,22 +157,28 @@ def usable(df: DataFrame) -> DataFrame:
 
 def nearest_neighbours(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """vectors (vec_id, embedding, ...) to (query_id, rank, vec_id, score): the k nearest found of each query row."""
+    spark = vectors.sparkSession
     rows = usable(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toPandas()
-    if not len(sample):
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).collect()
+    if not sample:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    dim = int(sample["embedding"].map(len).mode()[0])
-    x = np.stack([v for v in sample["embedding"] if len(v) == dim]).astype(np.float64)
-    rotation = learn_rotation(x / np.sqrt((x * x).sum(axis=1, keepdims=True)))
+    lengths = np.bincount([len(r.embedding) for r in sample])
+    dim = int(lengths.argmax())
+    x = np.array([r.embedding for r in sample if len(r.embedding) == dim], dtype=np.float64)
+    code = learn_code(x / np.sqrt((x * x).sum(axis=1, keepdims=True)))
     rows = rows.where(F.size("embedding") == dim)
-    queries = rows.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id"])
-    q_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    d_blocks = max(1, -(-rows.count() // DATA_BLOCK))
-    block = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("qb", block(q_blocks)).withColumn("db", every(d_blocks)).groupBy("qb", "db")
-    right = rows.withColumn("db", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(d_blocks)).cast("int")).withColumn("qb", every(q_blocks)).groupBy("qb", "db")
-    found = stored(left.cogroup(right).applyInPandas(_search(rotation, k), "query_id long, vec_id long, score double"), "found")
+    queries = stored(rows.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    slices = max(1, -(-queries.count() * dim * 8 // SLICE_BYTES))
+    found = None
+    for s in range(slices):
+        some = queries.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(slices)) == s).orderBy("vec_id").toArrow()
+        if some.num_rows:
+            shared = spark.sparkContext.broadcast((code, some.column(0).to_numpy(), _matrix(some.column(1).combine_chunks(), dim)))
+            new = stored(rows.mapInArrow(_search(shared, k, dim), "query_id long, vec_id long, score double"), "found")
+            shared.destroy()
+            found = new if found is None else found.union(new)
+    if found is None:
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
