@@ -3,17 +3,18 @@
 1.  Anchors.  Among the hashes of the ANCHOR-byte strings inside a window, the smallest (the first of equal ones) is the window's
     anchor.  Equal windows have their anchors at the same place, so only windows whose anchor string recurs can recur.
     Anchors (one for each 130 bytes or so) are counted by hash; those that occur once go.
-2.  Contexts.  A recurring anchor is sent with the bytes to its left and right that windows around it can reach.
+2.  Contexts.  A recurring anchor's context is the bytes to its left and right that windows around it can reach.  Of equal contexts one is
+    kept; the windows of the others are settled with it.
 3.  Suffixes.  The suffixes that begin at the anchors are put in order deep-shallow: a multikey quicksort on characters of eight
     bytes to a shallow depth, then a blind trie for each group that is still equal.  The reversed left sides are ordered
     alike.  A window that begins l bytes before an anchor recurs if another member has the same l bytes on the left
     and the same WINDOW - l on the right: both are classes of neighbours in the two orders.
 4.  All windows of an anchor hold it, so the bytes they cover run from the first to the last; documents merge these runs.
 
-A group that more than GROUP_ROWS members share is not sorted in one task.  It is split by the bytes that come next: its windows are cut
-into ranges of l (WIDTHS wide, finer from level to level), and members meet in a range only if all bytes that every window of the
-range holds are equal.  Members that agree in all bytes of all windows of a range are settled as they are, and one stands for them
-from there on.  What is left of at most GROUP_ROWS is sorted as above; the finest ranges are single windows, settled by their count.
+A group that more than GROUP_ROWS different contexts share is not sorted in one task.  It is split by the bytes that come next: its windows
+are cut into ranges of l (WIDTHS wide, finer from level to level), and members meet in a range only if all bytes that every window of the
+range holds are equal.  Members that agree in all bytes of all windows of a range are one again.  What is left of at most GROUP_ROWS is sorted
+as above; the finest ranges are single windows, where members that meet are equal and nothing is left to sort.
 
 Equal texts are one node (a 64-bit hash of the text); a text of WINDOW bytes or more that occurs twice is removed whole.
 A null text is empty; texts below WINDOW bytes keep all; repeated rows are copies of each other; ids may be null.  An empty table gives
@@ -42,9 +43,9 @@ REACH = WINDOW - ANCHOR
 #: Depth in bytes, after the anchor itself, to which suffixes are ordered by quicksort; deeper ties go to blind tries.
 SHALLOW = 16
 #: A group of more members is split by its next bytes instead of sorted in one task (about 700 bytes a member).
-GROUP_ROWS = 8_192
-#: How many windows a range holds, level by level.
-WIDTHS = (32, 4, 1)
+GROUP_ROWS = 1_024
+#: How many windows a range holds, level by level; at first all that an anchor can have.
+WIDTHS = (REACH + 1, 32, 4, 1)
 CHUNK = 4 << 20
 
 
@@ -381,34 +382,34 @@ def recurring_spans(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """docs (node, id, text) to (node, spans): for each node with any, the array of (first, last) of its recurring bytes."""
     found = stored(docs.select("node", "text").mapInArrow(_emit_anchors, "h long, node long, pos int"), "anchors")
     place = F.xxhash64("node", "pos")
-    groups = found.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h", (F.col("n") > GROUP_ROWS).alias("large"))
-    groups = stored(groups, "groups")
-    anchors = found.join(F.broadcast(groups) if small(groups) else groups.hint("merge"), "h")
-    anchors = stored(anchors.select("node", "pos", F.col("h").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(0).alias("low"), F.lit(REACH).alias("high"), "large"), "recurring")
-    texts = stored(_one_a_node(docs, nodes, anchors.select("node").distinct()), "texts")
-
-    def with_text(rows: DataFrame) -> DataFrame:
-        own = rows.groupBy("node").agg(F.collect_set(F.struct("pos", "k1", "k2", "low", "high")).alias("anchors"))
+    groups = found.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h")
+    open_ = stored(found.join(groups.hint("merge"), "h", "left_semi").select("node", "pos", F.lit(0).alias("low"), F.lit(REACH).alias("high")), "recurring")
+    texts = stored(_one_a_node(docs, nodes, open_.select("node").distinct()), "texts")
+
+    def with_text(rows: DataFrame, *cols: str) -> DataFrame:
+        own = rows.groupBy("node").agg(F.collect_set(F.struct("pos", "low", "high", *cols)).alias("anchors"))
         return texts.join(own.hint("merge"), "node").select("node", "text", "anchors").sortWithinPartitions("node")
 
     def by_sorting(rows: DataFrame) -> DataFrame:
-        contexts = with_text(rows).mapInArrow(_contexts, _CONTEXT)
+        contexts = with_text(rows, "k1", "k2").mapInArrow(_contexts, _CONTEXT)
         return stored(contexts.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(_spans, _SPAN), "sorted")
 
-    spans, open_ = by_sorting(anchors.where("NOT large")), anchors.where("large")
+    spans = None
     for width in WIDTHS:
-        if open_.isEmpty():
-            break
         ranges = stored(with_text(open_).mapInArrow(_ranges(width), _RANGE), "ranges")
-        outer = stored(ranges.groupBy("o1", "o2").agg(F.count("*").alias("n"), F.min(place).alias("stands")), "outer")
-        alike = ranges.join(outer.where("n > 1").select("o1", "o2").hint("merge"), ["o1", "o2"], "left_semi")
-        spans = spans.union(alike.select("node", (F.col("pos") - F.col("high")).alias("first"), (F.col("pos") - F.col("low") + WINDOW).alias("last")))
+        alike = ranges.groupBy("o1", "o2").agg(F.count("*").alias("n"), F.min(place).alias("stands"))
+        ranges = stored(ranges.join(alike.hint("merge"), ["o1", "o2"]).select("c1", "c2", "node", "pos", "low", "high", (F.col("n") > 1).alias("twin"), (F.col("stands") == place).alias("stands")), "alike")
+        settled = ranges.where("twin").select("node", (F.col("pos") - F.col("high")).alias("first"), (F.col("pos") - F.col("low") + WINDOW).alias("last"))
+        spans = settled if spans is None else spans.union(settled)
         if width == 1:
             break
-        rest = ranges.withColumn("stands", place).join(outer.select("o1", "o2", "stands").hint("merge"), ["o1", "o2", "stands"], "left_semi")
-        core = stored(rest.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1"), "core").select("c1", "c2", (F.col("n") > GROUP_ROWS).alias("large"))
-        rest = stored(rest.join(core.hint("merge"), ["c1", "c2"]).select("node", "pos", F.col("c1").alias("k1"), F.col("c2").alias("k2"), "low", "high", "large"), "open")
+        rest = ranges.where("stands").select("c1", "c2", "node", "pos", "low", "high")
+        core = rest.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), (F.col("n") > GROUP_ROWS).alias("large"))
+        rest = rest.withColumnRenamed("c1", "k1").withColumnRenamed("c2", "k2").join(core.hint("merge"), ["k1", "k2"])
+        rest = stored(rest.select("node", "pos", "k1", "k2", "low", "high", "large"), "open")
         spans, open_ = spans.union(by_sorting(rest.where("NOT large"))), rest.where("large")
+        if open_.isEmpty():
+            break
     return stored(spans.groupBy("node").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
 
 
