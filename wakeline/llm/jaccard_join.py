@@ -14,6 +14,9 @@ frequent shingles last (by a sketch of counts over the whole corpus) and break t
 4.  Afterwards a posting whose members are all in one component is settled.  Members of others meet the members of
     other components in blocks of bounded size, under the same bounds and filters: no link between components is lost.
 
+The sketch tells before anything is dealt which shingles may be in more than HEAVY_ROWS sets; rows of those are spread over SALTS tasks and
+are long postings as they are.  Long postings stream through a task without being held.
+
 A cap on partners or postings does not exist.  Nulls and texts without words have the empty set, link with nothing and are
 their own component; rows with a null id take the component of rows with the same set, or null.
 """
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .kernels import distinct_shingles, mix64, set_signatures, shingle_sets
-from .shared import keep_ids, read_table, stored
+from .shared import keep_ids, read_table, small, stored
 
 _U = np.uint64
 SKETCH_BITS = 21
@@ -41,6 +44,8 @@ STAR_ROUNDS = 2
 #: Postings of up to so many members yield their possible pairs at once.
 SHORT_POSTING = 16
 BLOCK_ROWS = 4096
+HEAVY_ROWS = 50_000
+SALTS = 64
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,15 +82,18 @@ def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([_pack(v) for v in total.values()], pa.binary())], names=["part", "cells"])
 
 
-def _bands(sketches: DataFrame) -> np.ndarray:
-    """How frequent the shingles of each sketch cell are, in half octaves above the mean. The driver gets a sketch of fixed size."""
+def _bands(sketches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How frequent the shingles of each sketch cell are, in half octaves above the mean, and which cells may hold a heavy one.
+
+    The driver gets a sketch of fixed size.
+    """
     once = sketches.repartition(32).mapInArrow(_add_sketches, "part int, cells binary")
     rows = once.repartition(16, "part").mapInArrow(_add_sketches, "part int, cells binary").collect()
     cells = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS))
     for row in rows:
         cells[row.part] = _unpack_cells(row.cells)
     flat = cells.reshape(-1)
-    return np.floor(2 * np.log2(np.maximum(flat / max(8.0, flat.mean()), 1))).astype(np.uint8)
+    return np.floor(2 * np.log2(np.maximum(flat / max(8.0, flat.mean()), 1))).astype(np.uint8), np.packbits(flat > HEAVY_ROWS)
 
 
 def _order_key(shingles: np.ndarray, bands: np.ndarray, seed: int) -> np.ndarray:
@@ -106,11 +114,15 @@ def _prefixes(flat: np.ndarray, starts: np.ndarray, bands: np.ndarray, seed: int
     return out, np.array([len(x) for x in out], dtype=np.int64)
 
 
-def _emit_prefixes(bands):
-    """(text) to (t, node, n, pos): the first order's prefix of each text; a set that comes again in a task is passed over."""
+def _emit_prefixes(bands, heavy):
+    """(text) to (t, salt, node, n, pos): the first order's prefix of each text; a set that comes again in a task is passed over.
+
+    salt is -1, but for shingles that may be heavy.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        is_heavy = np.unpackbits(heavy.value).astype(bool)
         for batch in batches:
             for flat, starts in distinct_shingles(batch.column(0)):
                 sigs, sizes = set_signatures(flat, starts), np.diff(starts)
@@ -121,8 +133,10 @@ def _emit_prefixes(bands):
                 if new:
                     at = np.concatenate([own[k] for k in new])
                     pos = np.concatenate([np.arange(size[k], dtype=np.int32) for k in new])
-                    cols = [flat[at].view(np.int64), np.repeat(sigs[new], size[new]), np.repeat(sizes[new].astype(np.int32), size[new]), pos]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["t", "node", "n", "pos"])
+                    nodes = np.repeat(sigs[new], size[new])
+                    salt = np.where(is_heavy[(flat[at] >> _U(64 - SKETCH_BITS)).astype(np.int64)], nodes % SALTS, -1).astype(np.int32)
+                    cols = [flat[at].view(np.int64), salt, nodes, np.repeat(sizes[new].astype(np.int32), size[new]), pos]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["t", "salt", "node", "n", "pos"])
 
     return run
 
@@ -181,29 +195,56 @@ _CANDIDATE = "a long, b long, t long, node long, n int, pos int"
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t, node, n, pos) sorted by (t, node): possible pairs (a, b) of short postings, and the rows of long ones.
+    """(t, salt, node, n, pos) sorted by (t, salt, node): possible pairs (a, b) of short postings, and the rows of long ones.
 
-    Repeated rows of a node count once.  A run is held as four numbers a row while it passes.
+    Repeated rows of a node count once.  Rows of a posting that is known to be long are sent on at once.
     """
-    for cols in _runs(batches, 1):
-        fresh = np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])
-        cols = [c[fresh] for c in cols]
-        t, node, n, pos = cols
-        ends = _run_ends(cols, 1)
-        size = np.bincount(ends, minlength=len(t) + 1)[ends]
-        short = (size > 1) & (size <= SHORT_POSTING)
+    names = ["a", "b", "t", "node", "n", "pos"]
+
+    def long_rows(cols: list[np.ndarray]) -> pa.RecordBatch:
+        none = pa.nulls(len(cols[0]), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, *(pa.array(cols[k]) for k in (0, 2, 3, 4))], names=names)
+
+    def short_pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        t, _, node, n, pos = cols
+        for i, j in _pairs_of_runs(_run_ends([t], 1), n, pos):
+            pair = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1), axis=0)
+            none = pa.nulls(len(pair), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), none, none, none.cast(pa.int32()), none.cast(pa.int32())], names=names)
+
+    held: list[np.ndarray] | None = None
+    last, streamed = None, None  # the last row told, and the posting whose rows are sent on as they come
+    for batch in _and_end(batches):
+        if batch is not None:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(cols[0]):
+                continue
+            key = np.stack([cols[0], cols[2]])
+            fresh = np.concatenate([[last is None or (key[:, 0] != last).any()], (key[:, 1:] != key[:, :-1]).any(axis=0)])
+            last = key[:, -1]
+            cols = [c[fresh] for c in cols]
+            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        if held is None or not len(held[0]):
+            continue
+        cols = held
+        ends = _run_ends([cols[0]], 1)
+        size = np.bincount(ends, minlength=len(ends) + 1)[ends]
+        long = (size > SHORT_POSTING) | (cols[1] >= 0) | (cols[0] == streamed if streamed is not None else False)
+        still = np.zeros(len(ends), dtype=bool) if batch is None else (ends == len(ends)) & ~long  # a short posting that may go on
+        short = ~long & ~still & (size > 1)
         if short.any():
-            s_cols = [c[short] for c in cols]
-            s_node, s_n, s_pos = s_cols[1:]
-            for i, j in _pairs_of_runs(_run_ends(s_cols, 1), s_n, s_pos):
-                a, b = np.minimum(s_node[i], s_node[j]), np.maximum(s_node[i], s_node[j])
-                pair = np.unique(np.stack([a, b], axis=1), axis=0)
-                none = pa.nulls(len(pair), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), none, none, none.cast(pa.int32()), none.cast(pa.int32())], names=["a", "b", "t", "node", "n", "pos"])
-        long = size > SHORT_POSTING
+            yield from short_pairs([c[short] for c in cols])
         if long.any():
-            none = pa.nulls(int(long.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, *(pa.array(c[long]) for c in cols)], names=["a", "b", "t", "node", "n", "pos"])
+            yield long_rows([c[long] for c in cols])
+            streamed = cols[0][-1] if long[-1] else None
+        elif not still.all():
+            streamed = None
+        held = [c[still] for c in cols]
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def _texts_of(bands):
@@ -286,12 +327,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = stored(docs.mapInArrow(_profile, "doc_id long, n int, node long, part int, cells binary"), "profile")
-    bands = spark.sparkContext.broadcast(_bands(profile.where("part IS NOT NULL").select("part", "cells")))
+    bands, heavy = map(spark.sparkContext.broadcast, _bands(profile.where("part IS NOT NULL").select("part", "cells")))
     rows = profile.where("part IS NULL").select("doc_id", "n", "node")
     nodes = stored(rows.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
 
-    prefixes = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_emit_prefixes(bands), "t long, node long, n int, pos int")
-    found = stored(prefixes.repartition("t").sortWithinPartitions("t", "node").mapInArrow(_candidates, _CANDIDATE), "candidates")
+    prefixes = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_emit_prefixes(bands, heavy), "t long, salt int, node long, n int, pos int")
+    found = stored(prefixes.repartition("t", "salt").sortWithinPartitions("t", "salt", "node").mapInArrow(_candidates, _CANDIDATE), "candidates")
     postings = found.where("a IS NULL").select("t", "node", "n", "pos")
 
     def ends(pairs: DataFrame) -> DataFrame:
@@ -300,7 +341,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     def verified(pairs: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """The links among pairs (a, b) that pass the filters of all orders, and all pairs tested so far."""
         if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+            pairs = pairs.join(done.hint("merge"), ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         ids = stored(ends(pairs).join(nodes, "node").select("doc_id").distinct(), "wanted")
         texts = stored(keep_ids(docs, ids, "doc_id").select("text").mapInArrow(_texts_of(bands), "node long, n int, p2 array<int>, p3 array<int>, text string"), "texts")
@@ -321,7 +362,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links, done, open_rows, comps = None, None, postings.withColumn("comp", F.col("node")), None
     for turn in range(STAR_ROUNDS):
         pivot = open_rows.groupBy("t").agg(F.min_by(F.struct("node", "n", "pos", "comp"), F.struct(F.col("pos") * (1 - turn), F.xxhash64("node", F.lit(turn)))).alias("p"))
-        star = open_rows.alias("y").join(pivot.select("t", "p.*").alias("x"), "t").where("x.comp <> y.comp")
+        pivot = _beside_rows(stored(pivot.select("t", "p.*"), "pivots"))
+        star = open_rows.alias("y").join(pivot.alias("x"), "t").where("x.comp <> y.comp")
         star = star.where(_possible(*(F.col(c) for c in ("x.n", "x.pos", "y.n", "y.pos"))))
         pairs = star.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         if not turn:
@@ -354,9 +396,15 @@ def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _unsettled(postings: DataFrame, comps: DataFrame) -> DataFrame:
     """The postings whose members are in more than one component, with comp, and size: members of the posting."""
-    known = postings.join(comps, "node")
+    known = stored(postings.join(comps.hint("merge"), "node"), "known")
     open_ = known.groupBy("t").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("t", "size")
-    return known.join(open_, "t").select("t", "node", "n", "pos", "comp", "size")
+    return known.join(_beside_rows(stored(open_, "unsettled")), "t").select("t", "node", "n", "pos", "comp", "size")
+
+
+def _beside_rows(postings: DataFrame) -> DataFrame:
+    """One row a posting, to be joined to the rows of postings: broadcast behind a count, so that a large posting stays where it is; merged beyond it, where
+    Spark splits skewed postings."""
+    return F.broadcast(postings) if small(postings) else postings.hint("merge")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .kernels import slices, utf8
@@ -180,16 +180,20 @@ def is_held_out() -> F.Column:
 
 
 def learn(docs: DataFrame) -> dict:
-    """A model from the labelled rows that are not held out: SAMPLE_ROWS of them in hashed order."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out()).withColumn("_key", F.xxhash64("doc_id", F.lit(11)))
+    """A model from the labelled rows that are not held out: a window of each of SAMPLE_ROWS of them, as many of each language, in hashed order."""
+    key = F.xxhash64("doc_id", F.lit(11))
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang", key.alias("_key"))
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
+    if not counts:
+        return {"classes": []}
+    most = max(1, SAMPLE_ROWS // len(counts))
     # a hashed share of about four samples first, so that no task sends a whole sample's worth at scale
-    share = max(1, labelled.select("_key").count() // (4 * SAMPLE_ROWS))
-    rows = labelled.where((F.pmod("_key", F.lit(share)) == 0) & F.col("text").rlike(r"\p{L}"))
+    shares = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, max(1, n // (4 * most)))))
     at = F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(12)), F.greatest(F.length("text") - WINDOW, F.lit(1)).cast("long"))
-    window = F.substring("text", at.cast("int"), F.lit(WINDOW))
-    sample = rows.select("_key", "doc_id", window.alias("text"), "lang").orderBy("_key", "doc_id").limit(SAMPLE_ROWS).collect()
-    sample = [(r.text.encode(), r.lang) for r in sample if r.text]
-    return train([t for t, _ in sample], [y for _, y in sample]) if sample else {"classes": []}
+    rows = labelled.where(F.pmod("_key", shares[F.col("lang")]) == 0).select("_key", "doc_id", F.substring("text", at.cast("int"), F.lit(WINDOW)).alias("text"), "lang")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_key", "doc_id", "text"))
+    sample = rows.withColumn("_rank", rank).where(F.col("_rank") <= most).orderBy("lang", "_rank").collect()
+    return train([r.text.encode() for r in sample], [r.lang for r in sample])
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
