@@ -8,7 +8,8 @@ identifiers found, in text order, are matched against ordered rules: a rule fits
 each other.  The first rule that fits names the licence and the verdict; all that fit are listed in rule order.
 
 A null or empty text has no sentence: licence null, verdict ``none``.  Known sentences that no rule uses have no verdict either.
-Repeated rows are judged alike; only doc_id and text are read.
+Repeated rows are judged alike; only doc_id and text are read, so other columns may have any name.  Texts of any length are judged whole; an empty
+table gives an empty result.  Of equal rules the first in order wins.
 """
 
 from __future__ import annotations
@@ -39,12 +40,40 @@ SENTENCES = {
     "ccbysa4.short": "licensed under cc by sa 4 0",
     "cc0.short": "this work is dedicated to the public domain",
     "reserved": "all rights reserved",
+    "gpl2.free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "lgpl21.free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3.free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3.free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "mpl2.subject": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl2.copy": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "mpl2.copys": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "isc.grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "unlicense.free": "this is free and unencumbered software released into the public domain",
+    "bsl1.short": "distributed under the boost software license version 1 0",
+    "ccbynd4.short": "licensed under cc by nd 4 0",
+    "ccbyncsa4.short": "licensed under cc by nc sa 4 0",
+    "ccbyncnd4.short": "licensed under cc by nc nd 4 0",
+    "ccby4.work": "this work is licensed under a creative commons attribution 4 0 international license",
+    "ccbysa4.work": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "ccbync4.work": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
 }
 #: Rules in order: licence, identifiers next to each other, verdict.
 RULES = (
     ("GPL-3.0-or-later", ("gpl3.free", "gpl3.hope", "gpl3.details"), "deny"),
     ("GPL-3.0-or-later", ("gpl3.free",), "deny"),
     ("GPL-3.0", ("gpl3.short",), "deny"),
+    ("AGPL-3.0-or-later", ("agpl3.free",), "deny"),
+    ("GPL-2.0-or-later", ("gpl2.free",), "deny"),
+    ("LGPL-3.0-or-later", ("lgpl3.free",), "review"),
+    ("LGPL-2.1-or-later", ("lgpl21.free",), "review"),
+    ("MPL-2.0", ("mpl2.subject", "mpl2.copy"), "review"),
+    ("MPL-2.0", ("mpl2.subject", "mpl2.copys"), "review"),
+    ("MPL-2.0", ("mpl2.subject",), "review"),
+    ("CC-BY-NC-SA-4.0", ("ccbyncsa4.short",), "deny"),
+    ("CC-BY-NC-ND-4.0", ("ccbyncnd4.short",), "deny"),
+    ("CC-BY-ND-4.0", ("ccbynd4.short",), "deny"),
+    ("CC-BY-NC-4.0", ("ccbync4.work",), "deny"),
+    ("CC-BY-SA-4.0", ("ccbysa4.work",), "review"),
     ("CC-BY-NC-4.0", ("ccbync4.short",), "deny"),
     ("CC-BY-SA-4.0", ("ccbysa4.short",), "review"),
     ("Apache-2.0", ("apache2.licensed", "apache2.copy", "apache2.basis", "apache2.see"), "allow"),
@@ -54,6 +83,10 @@ RULES = (
     ("MIT", ("mit.licensed",), "allow"),
     ("MIT", ("mit.short",), "allow"),
     ("BSD-3-Clause", ("bsd3.use",), "allow"),
+    ("ISC", ("isc.grant",), "allow"),
+    ("BSL-1.0", ("bsl1.short",), "allow"),
+    ("CC-BY-4.0", ("ccby4.work",), "allow"),
+    ("Unlicense", ("unlicense.free",), "allow"),
     ("CC-BY-4.0", ("ccby4.short",), "allow"),
     ("CC0-1.0", ("cc0.short",), "allow"),
     ("Proprietary", ("reserved",), "deny"),
@@ -63,6 +96,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Marks in normalised text: a sentence ended; a line or clause ended.
 _END, _CLAUSE = "\x01", "\x02"
+#: A version ("v. 2.0") is no sentence end.
+_VERSION = r"([ \t\n\r][vV])\.[ \t\n\r]+([0-9])"
 
 
 def _known_runs() -> str:
@@ -75,7 +110,8 @@ def scan_licences(docs: DataFrame) -> DataFrame:
 
     identifiers and licences are comma-separated, in text order and rule order.
     """
-    s = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace(F.coalesce("text", F.lit("")), r"([.!?])[ \t\n\r]+", "$1" + _END).alias("marked"))
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), _VERSION, "$1 $2")
+    s = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace(text, r"([.!?])[ \t\n\r]+", "$1" + _END).alias("marked"))
     clauses = "\n\r:;)|"
     words = F.regexp_replace(F.translate("marked", _UPPER + clauses + _CLAUSE, _LOWER + _CLAUSE * len(clauses) + " "), f"[^a-z0-9{_END}{_CLAUSE}]+", " ")
     s = s.select("doc_id", F.size(F.filter(F.split("marked", _END), lambda x: F.length(x) > 0)).cast("long").alias("n_sentences"), F.regexp_extract_all(words, F.lit(_known_runs()), F.lit(1)).alias("runs"))
@@ -96,19 +132,20 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    case = lambda x: f"(CASE trim(regexp_replace(translate({x}, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')) " + " ".join(f"WHEN '{t}' THEN '{k}'" for k, t in SENTENCES.items()) + " END)"
+    """The same in DuckDB.  It has no look-ahead: marks are doubled, so that the one that ends a run leaves another for the next."""
+    e, c, runs = r"\x01", r"\x02", "|".join(t.replace(" ", r"[ \x02]+") for t in sorted(SENTENCES.values(), key=len, reverse=True))
+    clauses = " || ".join(["chr(10)", "chr(13)", "':;)|'", "chr(2)"])
+    known = "CASE regexp_replace(x, '[ \\x02]+', ' ', 'g') " + " ".join(f"WHEN '{t}' THEN '{k}'" for k, t in SENTENCES.items()) + " END"
     fit = lambda seq: f"contains(',' || identifiers || ',', ',{','.join(seq)},')"
     names = ", ".join(f"CASE WHEN {fit(seq)} THEN '{name}' END" for name, seq, _ in RULES)
     verdict = "CASE " + " ".join(f"WHEN {fit(seq)} THEN '{what}'" for _, seq, what in RULES) + " ELSE 'none' END"
     first = "CASE " + " ".join(f"WHEN {fit(seq)} THEN '{name}'" for name, seq, _ in RULES) + " END"
     return rf"""
-WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents),
-x AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM s),
-y AS (SELECT doc_id, i, x, {case('x')} AS k FROM x),
-l AS (SELECT doc_id, i, 0 AS j, k FROM y WHERE k IS NOT NULL UNION ALL
-  SELECT doc_id, i, j, {case('line')} FROM (SELECT doc_id, i, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS j FROM y WHERE k IS NULL)),
-g AS (SELECT doc_id, string_agg(k, ',' ORDER BY i, j) AS ids FROM l WHERE k IS NOT NULL GROUP BY doc_id),
-d AS (SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_sentences, coalesce(g.ids, '') AS identifiers FROM s LEFT JOIN g USING (doc_id))
+WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '{_VERSION}', '\1 \2', 'g'), '([.!?])[ \t\n\r]+', '\1' || chr(1), 'g') AS marked FROM documents),
+w AS (SELECT doc_id, len(list_filter(string_split(marked, chr(1)), lambda x: x <> '')) AS n,
+  regexp_replace(regexp_replace(translate(marked, '{_UPPER}' || {clauses}, '{_LOWER}' || repeat(chr(2), 6) || ' '), '[^a-z0-9{e}{c}]+', ' ', 'g'), '([{e}{c}])', '\1\1', 'g') AS words FROM s),
+r AS (SELECT doc_id, n, regexp_extract_all(words, '(?:^|[{e}{c}]) ?({runs})(?: ?[{e}{c}]| ?$)', 1) AS runs FROM w),
+d AS (SELECT doc_id, CAST(n AS BIGINT) AS n_sentences, coalesce(array_to_string(list_transform(runs, lambda x: {known}), ','), '') AS identifiers FROM r)
 SELECT doc_id, n_sentences, identifiers, (SELECT coalesce(string_agg(n, ',' ORDER BY o), '') FROM (SELECT n, min(o) AS o FROM (SELECT unnest([{names}]) AS n, generate_subscripts([{names}], 1) AS o) WHERE n IS NOT NULL GROUP BY n)) AS licences,
   {first} AS licence, {verdict} AS verdict FROM d
 """
