@@ -383,6 +383,7 @@ def recurring_spans(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     found = stored(docs.select("node", "text").mapInArrow(_emit_anchors, "h long, node long, pos int"), "anchors")
     place = F.xxhash64("node", "pos")
     groups = found.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h")
+    groups = stored(groups, "groups")  # so that a merge with it can split a hot anchor
     open_ = stored(found.join(groups.hint("merge"), "h", "left_semi").select("node", "pos", F.lit(0).alias("low"), F.lit(REACH).alias("high")), "recurring")
     texts = stored(_one_a_node(docs, nodes, open_.select("node").distinct()), "texts")
 
@@ -397,7 +398,7 @@ def recurring_spans(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     spans = None
     for width in WIDTHS:
         ranges = stored(with_text(open_).mapInArrow(_ranges(width), _RANGE), "ranges")
-        alike = ranges.groupBy("o1", "o2").agg(F.count("*").alias("n"), F.min(place).alias("stands"))
+        alike = stored(ranges.groupBy("o1", "o2").agg(F.count("*").alias("n"), F.min(place).alias("stands")), "classes")
         ranges = stored(ranges.join(alike.hint("merge"), ["o1", "o2"]).select("c1", "c2", "node", "pos", "low", "high", (F.col("n") > 1).alias("twin"), (F.col("stands") == place).alias("stands")), "alike")
         settled = ranges.where("twin").select("node", (F.col("pos") - F.col("high")).alias("first"), (F.col("pos") - F.col("low") + WINDOW).alias("last"))
         spans = settled if spans is None else spans.union(settled)
@@ -405,6 +406,7 @@ def recurring_spans(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             break
         rest = ranges.where("stands").select("c1", "c2", "node", "pos", "low", "high")
         core = rest.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), (F.col("n") > GROUP_ROWS).alias("large"))
+        core = stored(core, "cores")
         rest = rest.withColumnRenamed("c1", "k1").withColumnRenamed("c2", "k2").join(core.hint("merge"), ["k1", "k2"])
         rest = stored(rest.select("node", "pos", "k1", "k2", "low", "high", "large"), "open")
         spans, open_ = spans.union(by_sorting(rest.where("NOT large"))), rest.where("large")
