@@ -12,7 +12,6 @@ def queries() -> dict:
         "op1_license_scan": license_scan.op1_license_scan,
         "op2_mixing": mixing.op2_mixing,
         "op3_warc": warc.op3_warc,
-        "op3_warc_whole": warc.op3_warc_whole,
         "op4_language_id": language_id.op4_language_id,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
