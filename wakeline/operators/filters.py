@@ -21,7 +21,7 @@ AUTHORED_APPS = ("notes", "stickies", "textedit", "mail", "outlook", "spark", "m
 BLOCKED_APPS = ("antigravity ide", "claude", "gemini", "chatgpt", "cursor", "code", "visual studio code", "xcode", "terminal", "iterm2", "warp", "dock", "finder", "system settings", "activity monitor", "screen sharing", "zoom.us", "lockdown browser", "health")
 BLOCKED_URL = r"(?i)(claude\.ai|chatgpt\.com|chat\.openai\.com|gemini\.google|perplexity\.ai|poe\.com|meta\.ai|copilot\.microsoft|youtube\.com|netflix\.com)"
 AUTHORED_URL = r"(?i)(mail\.google\.com|gmail\.com|outlook\.(?:live|office)|slack\.com|discord\.com|web\.telegram\.org|teams\.(?:microsoft|live)|linkedin\.com/messaging|messenger\.com|web\.whatsapp)"
-NOISE_KEY = r"(?i)(stream|torrent|soccer|/watch|youtube\.com|netflix|twitch|hulu|tiktok|instagram|reddit\.com|google\.com/search|bing\.com|duckduckgo|amazon\.|ebay\.|aliexpress|/opportunities|^(finder|dock|claude|gemini|chatgpt|cursor|code|terminal|system settings)::)"
+NOISE_KEY = r"(?i)(stream|torrent|soccer|/watch|youtube\.com|netflix|twitch|hulu|tiktok|instagram|reddit\.com|google\.com/search|bing\.com|duckduckgo|amazon\.|ebay\.|aliexpress|/opportunities|automatiq|outlier\.ai|claude\.ai|chatgpt\.com|chat\.openai|gemini\.google|perplexity|^(finder|dock|claude|gemini|chatgpt|antigravity ide|cursor|code|terminal|system settings)::)"
 CATEGORIES = (
     ("name", r"\b(who|name|person|guy|girl|professor|recruiter|advisor|doctor|contact)\b"),
     ("date", r"\b(when|date|deadline|due|schedule|meeting)\b"),

@@ -140,16 +140,20 @@ def forgetting_signature(spark, sf_dir) -> DataFrame:
     return every.join(seen, "category", "left").select("category", F.round((F.col("prior") * PRIOR_WEIGHT + g) / (PRIOR_WEIGHT + n), 1).alias("half_life"), F.round(decay, 2).alias("decay"), F.coalesce("events", F.lit(0)).alias("events"), n.alias("observed"))
 
 
+def prior_versions(df: DataFrame) -> DataFrame:
+    """JN-1: (capture_id, prior_id): the version of a page to compare a capture with: the newest five minutes older, else the one before; null for the first."""
+    df = df.withColumn("at", F.expr("unix_timestamp(cast(ts AS timestamp))"))
+    page = Window.partitionBy("user_id", "page_key")
+    old = F.max(F.struct("ts", "capture_id")).over(page.orderBy("at").rangeBetween(Window.unboundedPreceding, -300))
+    return df.select("capture_id", F.coalesce(old["capture_id"], F.lag("capture_id").over(page.orderBy("ts", "capture_id"))).alias("prior_id"))
+
+
 @query("page_versions", over_captures(
     "SELECT k.capture_id, coalesce((SELECT arg_max(o.capture_id, (o.ts, o.capture_id)) FROM keyed o WHERE o.user_id = k.user_id AND o.page_key = k.page_key AND date_diff('second', o.ts, k.ts) >= 300), "
     "(SELECT arg_max(o.capture_id, (o.ts, o.capture_id)) FROM keyed o WHERE o.user_id = k.user_id AND o.page_key = k.page_key AND (o.ts, o.capture_id) < (k.ts, k.capture_id))) AS prior_id FROM keyed k"
 ))
 def page_versions(spark, sf_dir) -> DataFrame:
-    """JN-1: the version of a page to compare a capture with: the newest five minutes older, else the one before; null for the first."""
-    df = captures(spark, sf_dir, keyed=True).withColumn("at", F.expr("unix_timestamp(cast(ts AS timestamp))"))
-    page = Window.partitionBy("user_id", "page_key")
-    old = F.max(F.struct("ts", "capture_id")).over(page.orderBy("at").rangeBetween(Window.unboundedPreceding, -300))
-    return df.select("capture_id", F.coalesce(old["capture_id"], F.lag("capture_id").over(page.orderBy("ts", "capture_id"))).alias("prior_id"))
+    return prior_versions(captures(spark, sf_dir, keyed=True))
 
 
 @query("question_window", over_captures("SELECT q.query_id, count(*) AS n, max(c.capture_id) AS last_id FROM queries_v q JOIN captures_v c ON c.user_id = q.user_id AND c.ts BETWEEN q.ts - INTERVAL 3 DAY AND q.ts GROUP BY 1"))

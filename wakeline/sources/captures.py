@@ -47,3 +47,21 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, conv_id * 37 + turn * 2, 0)")
     q = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), (F.col("conv_id") % users).alias("user_id"), "text", ts.alias("ts"), ((F.col("conv_id") * 7 + F.col("turn")) % n_vec).alias("vec_id"))
     return q.join(vec.select("vec_id", "embedding"), "vec_id").select("query_id", "user_id", "text", "ts", "embedding")
+
+
+#: Lines planted in the notes, one by one over the captures; some hold the capture's own number.
+NOTE_LINES = (
+    "I'll send the report to Dana by Friday", "please reply to the landlord by tomorrow", "I need to call the bank about the loan", "need to email the professor tonight", "Submit the tax form this week",
+    "I might send you the photos at some point", "Sent the report to Dana as agreed", "My weight today: {weight} kg", "Resting heart rate {rate}", "Score: {score}%", "Up to $20 on selected pages", "Order 1234567 of 2024", "Daily steps {steps}",
+)
+NOTES_SQL = f"notes_v AS (SELECT capture_id, user_id, ts, app, url, page_key, capture_id % {len(NOTE_LINES)} AS k FROM keyed)"
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures with a message: (capture_id, user_id, ts, app, url, page_key, body), a planted line before the captured text."""
+    df = captures(spark, sf_dir, text=True, keyed=True)
+    i = F.col("capture_id")
+    line = F.element_at(F.array(*map(F.lit, NOTE_LINES)), (i % len(NOTE_LINES) + 1).cast("int"))
+    for name, value in {"weight": (60 + i % 40 + 0.5).cast("decimal(5,1)"), "rate": 50 + i % 30, "score": 1 + i % 99, "steps": 1000 + i % 800}.items():
+        line = F.replace(line, F.lit("{" + name + "}"), value.cast("string"))
+    return df.select("capture_id", "user_id", "ts", "app", "url", "page_key", F.concat_ws("\n", line, "ocr_text").alias("body"))
