@@ -113,12 +113,29 @@ def day_totals(spark, sf_dir) -> DataFrame:
     return with_dwell(captures(spark, sf_dir, keyed=True)).groupBy("user_id", "day").agg(F.count("*").alias("captures"), F.countDistinct("page_key").alias("pages"), F.bround(F.sum("dwell") / 60).cast("long").alias("minutes"))
 
 
+def with_sessions(df: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
+    """WIN-1: df with session: a user's sessions end at a long gap or a change of page.
+
+    Gaps and changes are found inside days and stitched at midnight from one row a day, so a user's history is never in one task: a session's number is
+    those that began on earlier days and so far on its own.
+    """
+    w = Window.partitionBy("user_id", "day").orderBy("ts", "capture_id")
+    d = df.withColumn("day", F.to_date("ts")).withColumn("_last", F.lag(F.struct("ts", "page_key")).over(w))
+    ends = d.groupBy("user_id", "day").agg(F.max(F.struct("ts", "capture_id", "page_key")).alias("e"))
+    before = ends.select("user_id", "day", F.lag("e").over(Window.partitionBy("user_id").orderBy("day")).alias("_e"))
+    d = d.join(before.hint("merge"), ["user_id", "day"]).withColumn("_last", F.coalesce("_last", F.when(F.col("_e").isNotNull(), F.struct(F.col("_e.ts").alias("ts"), F.col("_e.page_key").alias("page_key"))))).withColumn("_last_ts", F.col("_last.ts"))
+    new = F.col("_last").isNull() | (seconds("_last_ts", "ts") > gap) | ~F.col("page_key").eqNullSafe(F.col("_last.page_key"))
+    d = d.withColumn("_new", F.coalesce(new, F.lit(True)).cast("long"))
+    begun = d.groupBy("user_id", "day").agg(F.sum("_new").alias("n"))
+    past = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    begun = begun.select("user_id", "day", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("_past"))
+    d = d.join(begun.hint("merge"), ["user_id", "day"]).withColumn("session", F.col("_past") + F.sum("_new").over(w))
+    return d.select(*df.columns, "session")
+
+
 def sessionize(df: DataFrame, gap: int = SESSION_GAP, least: int = 2) -> DataFrame:
-    """WIN-1: sessions of a user end at a long gap or a change of page; short ones go. (user_id, session, first_id, n, span)."""
-    w = Window.partitionBy("user_id").orderBy("ts", "capture_id")
-    new = F.lag("ts").over(w).isNull() | (F.col("gap") > gap) | ~F.col("page_key").eqNullSafe(F.lag("page_key").over(w))
-    s = df.withColumn("last_ts", F.lag("ts").over(w)).withColumn("gap", seconds("last_ts", "ts")).withColumn("new", new.cast("int"))
-    s = s.withColumn("session", F.sum("new").over(w))
+    """WIN-1: sessions of two captures or more: (user_id, session, page_key, n, first_id, span_start, span_end)."""
+    s = with_sessions(df, gap)
     return s.groupBy("user_id", "session", "page_key").agg(F.count("*").alias("n"), F.min("capture_id").alias("first_id"), F.min("ts").alias("span_start"), F.max("ts").alias("span_end")).where(F.col("n") >= least)
 
 

@@ -42,6 +42,7 @@ def with_window(questions: DataFrame, zone: str | Column = "UTC") -> DataFrame:
 
     ts, since and until are UTC (timestamp_ntz); days begin at midnight of zone, a name or a column of names.  Either end may be null: no bound.
     rest is the question without the phrase and with single blanks; without a phrase the question as it is.  A null question has no span.
+    A query_id stands for one question.
     """
     tz = zone if isinstance(zone, Column) else F.lit(zone)
     q, now, today, weekday, part = (F.col(c) for c in ("_q", "_now", "_today", "_weekday", "_part"))
@@ -83,7 +84,9 @@ def with_window(questions: DataFrame, zone: str | Column = "UTC") -> DataFrame:
     at = lambda t, days, secs: F.convert_timezone(tz, F.lit("UTC"), t + F.make_dt_interval(days=F.col(days), secs=F.col(secs)))
     until = F.when(~rule.isin("this week", "this month"), at(F.col("_base"), "_p2", "_p3"))
     rest = F.when(rule.isNull(), F.col("question")).otherwise(F.trim(F.regexp_replace(F.regexp_replace("question", F.col("_taken"), F.lit(" ")), r"\s+", " ")))
-    return df.select(*questions.columns, at(from_, "_p0", "_p1").alias("since"), until.alias("until"), rest.alias("rest"))
+    out = F.struct(*questions.columns, at(from_, "_p0", "_p1").alias("since"), until.alias("until"), rest.alias("rest"))
+    # the aggregate keeps later filters on the span from being pushed into these expressions again and again
+    return df.groupBy("query_id").agg(F.first(out).alias("_x")).select("_x.*")
 
 
 #: Phrases that the fixture's questions end with, one after the other, and their spans in SQL (d: the day's midnight, t: the time asked).
