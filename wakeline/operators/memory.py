@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clean_app, dot, host_of
 from ..plans.catalog import over_captures, query
-from ..sources.captures import captures, query_log, table
+from ..sources.captures import NOTES_SQL, captures, notes, query_log, table
 from .filters import STOP_WORDS, UNPINNABLE
 from .history import _SERIES, established_unit, promoted_series, series, without_outliers
 from .recall import nearest_captures
@@ -65,11 +65,10 @@ def vague_due(text: str, on: str) -> Column:
     )
 
 
-@query("vague_deadlines", "WITH c AS (SELECT conv_id, turn, lower(text) AS t, (TIMESTAMP '2024-01-01' + to_hours(conv_id))::DATE AS day FROM conversations) SELECT * FROM (SELECT conv_id, turn, CASE WHEN regexp_matches(t, '\\b(eod|cob|end of (the )?day|tonight|today)\\b') THEN day WHEN regexp_matches(t, '\\b(tomorrow|tmrw)\\b') THEN day + 1 "
-       "WHEN regexp_matches(t, '\\b(eow|end of (the )?week|this week|this weekend)\\b') THEN day + CAST((12 - isodow(day)) % 7 AS INT) WHEN regexp_matches(t, '\\bnext week\\b') THEN day + CAST(8 - isodow(day) AS INT) WHEN regexp_matches(t, '\\bnext month\\b') THEN (date_trunc('month', day) + INTERVAL 1 MONTH)::DATE END AS due FROM c) WHERE due IS NOT NULL")
+@query("vague_deadlines", over_captures("SELECT capture_id, CASE k WHEN 1 THEN ts::DATE + 1 WHEN 4 THEN ts::DATE + CAST((12 - isodow(ts)) % 7 AS INTEGER) ELSE ts::DATE END AS due FROM notes_v WHERE k IN (1, 3, 4, 7)", NOTES_SQL))
 def vague_deadlines(spark, sf_dir) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").withColumn("on", F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, conv_id, 0, 0)"))
-    return c.select("conv_id", "turn", vague_due("text", "on").alias("due")).where("due IS NOT NULL")
+    """TXT-13 over the notes: four of their planted lines name a day."""
+    return notes(spark, sf_dir).select("capture_id", vague_due("body", "ts").alias("due")).where("due IS NOT NULL")
 
 
 @query("layer_counts", over_captures("SELECT user_id, count(*) AS captures, count(DISTINCT CAST(ts AS DATE)) AS days, count(*) FILTER (WHERE capture_id % 11 = 0) AS reinforced FROM captures_v GROUP BY 1"))

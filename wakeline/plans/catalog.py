@@ -26,8 +26,8 @@ keyed AS (SELECT *, CASE WHEN regexp_matches(trim(url), '^(?i)https?://[^/?#]+')
     lower(regexp_extract(trim(url), '^([^:]+://[^/?#]+)', 1)) || coalesce(nullif(rtrim(lower(regexp_extract(trim(url), '^[^:]+://[^/?#]+([^?#]*)', 1)), '/'), ''), '/')
   ELSE CASE WHEN nt = '' THEN lower(trim(app)) ELSE lower(trim(app)) || '::' || nt END END AS page_key
   FROM (SELECT *, lower(trim(regexp_replace(regexp_replace(regexp_replace(trim(coalesce(window_title, '')), '\\s*[\\(\\[]\\s*\\d+\\s*[\\)\\]]\\s*$', ''), '^\\s*[\\(\\[]?\\d+[\\)\\]]?\\s+', ''), '\\s+', ' ', 'g'))) AS nt FROM captures_v)),
-queries_v AS (SELECT conv_id * 1000 + turn AS query_id, conv_id % (SELECT count(DISTINCT user_id) FROM events) AS user_id, text, TIMESTAMP '2024-01-01' + to_minutes(conv_id * 37 + turn * 2) AS ts, embedding
-  FROM conversations JOIN embeddings ON vec_id = (conv_id * 7 + turn) % (SELECT count(*) FROM embeddings) WHERE role = 'user')
+queries_v AS (SELECT conv_id * 1000 + turn AS query_id, conv_id % 15 AS user_id, text, TIMESTAMP '2024-01-01' + to_minutes(conv_id * 37 + turn) AS ts, embedding
+  FROM conversations JOIN embeddings ON vec_id = ((conv_id % 15) * 11 + (turn // 4) % 2) % (SELECT count(*) FROM embeddings) WHERE role = 'user')
 """
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import page_key
 
 
+ASKERS = 15
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -15,13 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def captures(spark: SparkSession, sf_dir: str, text: bool = False, vectors: bool = False, keyed: bool = False) -> DataFrame:
     """captures (capture_id, user_id, ts, app, window_title, url[, ocr_text][, embedding][, page_key]).
 
-    Texts and vectors are joined in only where asked for, so that a dwell report never reads them.
+    Texts and vectors are joined in only where asked for, so that a dwell report never reads them.  The tables' sizes are subqueries of the plan.
     """
     t = lambda name: table(spark, sf_dir, name)
-    n_pages, n_docs, n_vec = t("pages").count(), t("documents").count(), t("embeddings").count()
+    size = lambda name: t(name).select(F.count("*")).scalar()
     kind = F.col("event_type")
     app = F.when(kind.isin("click", "view"), "Browser").when(kind == "error", "Terminal").when(kind == "signup", "Mail").otherwise("Notes")
-    e = t("events").select("event_id", "user_id", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"), app.alias("app"), ((F.col("user_id") * 5 + F.col("event_id") % 5) % n_pages).alias("page_ix"))
+    e = t("events").select("event_id", "user_id", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"), app.alias("app"), ((F.col("user_id") * 5 + F.col("event_id") % 5) % size("pages")).alias("page_ix"))
     s = lambda c: c.cast("string")
     item = F.concat(F.col("app"), F.lit(" item "), s(F.col("event_id") % 3))
     title = F.when(F.col("app") == "Browser", F.concat(F.lit("("), s(F.col("event_id") % 7), F.lit(") Page "), s(F.col("page_ix")))).when(F.col("event_id") % 4 == 0, F.concat(item, F.lit(" ("), s(F.col("event_id") % 9), F.lit(")"))).otherwise(item)
@@ -29,23 +32,23 @@ def captures(spark: SparkSession, sf_dir: str, text: bool = False, vectors: bool
     cols = ["capture_id", "user_id", "ts", "app", "window_title", "url"]
     if text:
         docs = t("documents").select(F.col("doc_id").alias("doc_ix"), F.col("text").alias("ocr_text"))
-        df = df.withColumn("doc_ix", (F.col("event_id") * 31 + F.col("user_id")) % n_docs).join(docs, "doc_ix")
+        df = df.withColumn("doc_ix", (F.col("event_id") * 31 + F.col("user_id")) % size("documents")).join(docs, "doc_ix")
         cols.append("ocr_text")
     if vectors:
         vec = t("embeddings").select(F.col("vec_id").alias("vec_ix"), "embedding")
-        df = df.withColumn("vec_ix", (F.col("page_ix") * 7 + F.col("event_id") % 3) % n_vec).join(vec, "vec_ix")
+        df = df.withColumn("vec_ix", (F.col("page_ix") * 7 + F.col("event_id") % 3) % size("embeddings")).join(vec, "vec_ix")
         cols.append("embedding")
     df = df.withColumnRenamed("event_id", "capture_id").select(*cols)
     return df.withColumn("page_key", page_key()) if keyed else df
 
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The users' questions: (query_id, user_id, text, ts, embedding)."""
+    """The questions of ASKERS users: (query_id, user_id, text, ts, embedding).  A user has two vectors, so users ask again, at once and days later."""
     vec = table(spark, sf_dir, "embeddings")
-    users, n_vec = table(spark, sf_dir, "events").select("user_id").distinct().count(), vec.count()
-    c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    ts = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, conv_id * 37 + turn * 2, 0)")
-    q = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), (F.col("conv_id") % users).alias("user_id"), "text", ts.alias("ts"), ((F.col("conv_id") * 7 + F.col("turn")) % n_vec).alias("vec_id"))
+    c = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("user_id", F.col("conv_id") % ASKERS)
+    ts = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, conv_id * 37 + turn, 0)")
+    vec_id = (F.col("user_id") * 11 + F.floor(F.col("turn") / 4) % 2) % vec.select(F.count("*")).scalar()
+    q = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "user_id", "text", ts.alias("ts"), vec_id.alias("vec_id"))
     return q.join(vec.select("vec_id", "embedding"), "vec_id").select("query_id", "user_id", "text", "ts", "embedding")
 
 
