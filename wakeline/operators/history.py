@@ -10,15 +10,10 @@ from ..sources.captures import captures, table
 from .sessions import seconds
 
 
-@query("page_neighbours", over_captures(
-    "SELECT capture_id, CASE WHEN date_diff('second', p_ts, ts) <= 5400 THEN p_key END AS prev_key, CASE WHEN date_diff('second', ts, n_ts) <= 5400 THEN n_key END AS next_key FROM (SELECT k.capture_id, k.ts, "
-    "(SELECT arg_max(o.page_key, (o.ts, o.capture_id)) FROM keyed o WHERE o.user_id = k.user_id AND o.page_key <> k.page_key AND (o.ts, o.capture_id) < (k.ts, k.capture_id)) AS p_key, (SELECT max(o.ts) FROM keyed o WHERE o.user_id = k.user_id AND o.page_key <> k.page_key AND (o.ts, o.capture_id) < (k.ts, k.capture_id)) AS p_ts, "
-    "(SELECT arg_min(o.page_key, (o.ts, o.capture_id)) FROM keyed o WHERE o.user_id = k.user_id AND o.page_key <> k.page_key AND (o.ts, o.capture_id) > (k.ts, k.capture_id)) AS n_key, (SELECT min(o.ts) FROM keyed o WHERE o.user_id = k.user_id AND o.page_key <> k.page_key AND (o.ts, o.capture_id) > (k.ts, k.capture_id)) AS n_ts FROM keyed k)"
-))
-def page_neighbours(spark, sf_dir) -> DataFrame:
+def neighbours(df: DataFrame) -> DataFrame:
     """JN-2: the nearest captures of other pages, 90 minutes away at most; islands of one page, then the rows beside them."""
     w = Window.partitionBy("user_id").orderBy("ts", "capture_id")
-    df = captures(spark, sf_dir, keyed=True).withColumn("new", (~F.col("page_key").eqNullSafe(F.lag("page_key").over(w))).cast("int")).withColumn("island", F.sum("new").over(w))
+    df = df.withColumn("new", (~F.col("page_key").eqNullSafe(F.lag("page_key").over(w))).cast("int")).withColumn("island", F.sum("new").over(w))
     before = F.when(F.col("new") == 1, F.struct(F.lag("page_key").over(w).alias("k"), F.lag("ts").over(w).alias("t")))
     after = F.when(F.lead("new").over(w) == 1, F.struct(F.lead("page_key").over(w).alias("k"), F.lead("ts").over(w).alias("t")))
     df = df.withColumn("before", before).withColumn("after", after)
@@ -28,6 +23,15 @@ def page_neighbours(spark, sf_dir) -> DataFrame:
     return df.select("capture_id", F.when(seconds("pt", "ts") <= 5400, F.col("pk")).alias("prev_key"), F.when(seconds("ts", "nt") <= 5400, F.col("nk")).alias("next_key"))
 
 
+@query("page_neighbours", over_captures(
+    "SELECT capture_id, CASE WHEN date_diff('second', p_ts, ts) <= 5400 THEN p_key END AS prev_key, CASE WHEN date_diff('second', ts, n_ts) <= 5400 THEN n_key END AS next_key FROM (SELECT k.capture_id, k.ts, "
+    "(SELECT arg_max(o.page_key, (o.ts, o.capture_id)) FROM keyed o WHERE o.user_id = k.user_id AND o.page_key <> k.page_key AND (o.ts, o.capture_id) < (k.ts, k.capture_id)) AS p_key, (SELECT max(o.ts) FROM keyed o WHERE o.user_id = k.user_id AND o.page_key <> k.page_key AND (o.ts, o.capture_id) < (k.ts, k.capture_id)) AS p_ts, "
+    "(SELECT arg_min(o.page_key, (o.ts, o.capture_id)) FROM keyed o WHERE o.user_id = k.user_id AND o.page_key <> k.page_key AND (o.ts, o.capture_id) > (k.ts, k.capture_id)) AS n_key, (SELECT min(o.ts) FROM keyed o WHERE o.user_id = k.user_id AND o.page_key <> k.page_key AND (o.ts, o.capture_id) > (k.ts, k.capture_id)) AS n_ts FROM keyed k)"
+))
+def page_neighbours(spark, sf_dir) -> DataFrame:
+    return neighbours(captures(spark, sf_dir, keyed=True))
+
+
 @query("rare_pages", over_captures("SELECT capture_id FROM (SELECT capture_id, count(*) OVER (PARTITION BY user_id, page_key) AS c FROM keyed) WHERE c <= 3"))
 def rare_pages(spark, sf_dir) -> DataFrame:
     """JN-20: captures whose page was seen three times at most."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import alerts, commitments, diffs, episodes, filters, history, memory, places, recall, retrieval, sessions, text, threads, timewords  # noqa: F401  (they register)
+from .operators import alerts, cards, commitments, diffs, episodes, filters, history, memory, places, recall, retrieval, sessions, text, threads, timewords  # noqa: F401  (they register)
 from .plans.catalog import ORACLES, QUERIES, Query
 from .streaming import feeds  # noqa: F401  (registers too)
 
