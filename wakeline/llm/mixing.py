@@ -4,6 +4,8 @@ Words per source are aggregated, targets are set by water filling, and a source'
 its size.  Each document goes out floor(rate) times, and once more with a probability of the rate's fraction: the
 Bernoulli draw is the first 32 bits of md5(doc_id), so reruns and retried tasks agree.
 
+A source's taken words deviate from its target by about the square root of the sum of size squared times f (1 - f), f being the fraction of its rate.
+
 Nulls: a null text has 0 words; a null source is a source of its own, last in order; a null id draws as the text 'null'.
 A source without words has the target 0 and rate 0.  Rows that repeat an id draw alike.  An empty table gives an empty
 mix.  Other columns of the documents pass through :func:`mix_sources`.
@@ -34,7 +36,7 @@ def source_targets(sized: DataFrame) -> DataFrame:
     sources sorted by 3 * size / weight, those before the first whose cap lies above the level are the capped ones.
     """
     s = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # pre-aggregated: one row a source from here on
+    # pre-aggregated: one row a source from here on, ranked and filled in one task (it sorts on disk where memory is short)
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), ((rank - 1) % len(WEIGHTS) + 1).cast("int")).cast("long"))
     s = s.withColumn("cap", F.col("source_size") * MOST_REPEATS).withColumn("ratio", F.col("cap") / F.col("weight"))

@@ -4,7 +4,8 @@ A term counts only where no letter or digit (a-z, 0-9) stands directly before or
 term rejects a url; soft terms reject it when at least SOFT_HITS distinct ones occur.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule, and is judged by its terms alone (a null has none:
-allowed).  Repeated rows are judged alike, extra columns pass through, an empty table stays empty.
+allowed).  Urls of any length are judged whole, repeated rows alike; of rules of equal length the last in order wins.  Extra columns pass through, but those
+named like a column of the result are replaced by it; an empty table stays empty.
 """
 
 from __future__ import annotations
