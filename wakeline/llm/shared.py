@@ -40,6 +40,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes what :func:`stored` wrote for tables that nothing will read again."""
+    for table in tables:
+        for file in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     """Whether a table has at most so many rows; it is counted no further than that."""
     return df.limit(most + 1).count() <= most
