@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, clustering, decontaminate, jaccard_join, language_id, license_scan, mixing, suffix_dedup, token_output, url_filter, warc
+from . import ann, clustering, decontaminate, jaccard_join, language_id, license_scan, merkle, mixing, suffix_dedup, token_output, url_filter, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_token_output": token_output.op9_token_output,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_merkle": merkle.op11_merkle,
         "op12_clustering": clustering.op12_clustering,
         "pipeline": corpus_pipeline.run,
     }
@@ -32,5 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_warc": warc.OP3_SQL,
         "op6_jaccard_join": jaccard_join.OP6_SQL,
         "op10_url_filter": url_filter.OP10_SQL,
+        "op11_merkle": merkle.OP11_SQL,
         "op12_clustering": clustering.OP12_SQL,
     }
