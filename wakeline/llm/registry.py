@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, clustering, decontaminate, jaccard_join, language_id, license_scan, merkle, mixing, suffix_dedup, token_output, url_filter, warc
+from . import ann, clustering, decontaminate, jaccard_join, language_id, license_scan, merkle, mixing, quality, suffix_dedup, token_output, url_filter, warc
 
 
 def queries() -> dict:
@@ -21,6 +21,7 @@ def queries() -> dict:
         "op10_url_filter": url_filter.op10_url_filter,
         "op11_merkle": merkle.op11_merkle,
         "op12_clustering": clustering.op12_clustering,
+        "op13_quality": quality.op13_quality,
         "pipeline": corpus_pipeline.run,
     }
 
