@@ -6,10 +6,11 @@ Texts are read as symbols (code points, lower-cased; digits are 0, runs of white
 2. Spark counts the ORDER-grams of classes of all texts; tasks add up their own first.
 3. A task for each language turns the counts into an interpolated modified Kneser-Ney model: a sorted array of the 64-bit hashes of all n-grams up to
    ORDER (a bijection of the n-gram, so none collide) with log-probability and back-off beside it.
-4. Every whole text is scored by binary search for its distinct n-grams.  The quartiles of the log-perplexities of texts that pass the base rules,
-   exact to a thousandth, give the language's band: FENCE times the distance of the quartiles (LEAST_SPREAD at least) beyond either of them.
+4. Every whole text is scored by binary search for its distinct n-grams: its log-perplexity is nats per word.  A language's band lies around the median of
+   the texts that pass the base rules.  The mean over n words deviates by about scale / sqrt(n); the scale is taken from the quartiles of all deviations
+   times sqrt(n), and the band reaches FENCE of that, LEAST_REACH at least.  Medians and quartiles are exact to STEP.
 
-Below its band a text repeats what the corpus says over and over; above it, it is not the language's.  Both are rejected.
+Below its band a text's words say less than the language's (tables, menus, lists of fragments); above it they aren't the language's.  Both are rejected.
 
 With 64 classes and ORDER 4 a model has at most 64**4 n-grams a language by proof (some hundred thousand in practice).  Models are broadcast in groups
 of MODEL_BYTES; with more languages there are more passes, each over the texts of its own languages.
@@ -40,8 +41,11 @@ ALPHABET = 60
 BEFORE, OTHER, FIRST = 0, 1, 2
 CLASSES = FIRST + ALPHABET
 LANGUAGES = 256
-FENCE = 3.0
-LEAST_SPREAD = 0.1
+FENCE = 5.0
+LEAST_REACH = 0.25  # nats a word
+STEP = 0.001
+#: The distance of the quartiles of a normal distribution, in standard deviations.
+_QUARTILES = 1.349
 MODEL_BYTES = 128 << 20
 #: N-grams that a task adds up before it sends them on.
 HELD = 1 << 22
@@ -326,7 +330,7 @@ def _scored(shared):
                 own = distinct >> 32 == k
                 each[own] = log_probabilities(distinct[own] & 0xFFFFFFFF, models[k])
             sums = np.bincount(text, weights=each[codes] if len(codes) else None, minlength=j - i)
-            mean = -sums / np.maximum(np.bincount(text, minlength=j - i), 1)
+            mean = -sums / np.maximum(base["n_words"], 1)
             counts = [pa.array(base[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(of, pa.int32()), *counts, pa.array(mean)], names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"])
 
@@ -361,28 +365,33 @@ def score(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     return out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))), languages
 
 
-def bands(scored: DataFrame) -> dict[int, tuple[float, float]]:
-    """Lowest and highest log-perplexity of each language's model that a text may have."""
-    steps = scored.where("NOT base_failed").groupBy("lang", F.round(F.col("log_perplexity") * 1000).cast("long").alias("step")).count()
-    # a language's steps are some thousands
-    below = F.sum("count").over(Window.partitionBy("lang").orderBy("step"))
-    ranked = steps.withColumn("upto", below).withColumn("all", F.sum("count").over(Window.partitionBy("lang")))
-    quartile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("step")))
-    out = {}
-    for r in ranked.groupBy("lang").agg(quartile(0.25).alias("low"), quartile(0.75).alias("high")).collect():
-        reach = FENCE * max(r.high - r.low, 1000 * LEAST_SPREAD)
-        out[r.lang] = (r.low - reach) / 1000, (r.high + reach) / 1000
-    return out
+def _quantiles(values: DataFrame, *shares: float) -> dict[int, list[float]]:
+    """(lang, value) to the quantiles of each language, to STEP: from counts of steps, so the same in every run."""
+    steps = values.groupBy("lang", F.round(F.col("value") / STEP).cast("long").alias("step")).count()
+    # a language's steps are some thousands, however many texts it has
+    upto, total = F.sum("count").over(Window.partitionBy("lang").orderBy("step")), F.sum("count").over(Window.partitionBy("lang"))
+    ranked = steps.withColumn("upto", upto).withColumn("total", total)
+    picks = [F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("step"))).alias(f"q{i}") for i, q in enumerate(shares)]
+    return {r[0]: [x * STEP for x in r[1:]] for r in ranked.groupBy("lang").agg(*picks).collect()}
+
+
+def with_bands(scored: DataFrame) -> DataFrame:
+    """scored with lower and upper, the log-perplexities between which a text of its language and length is kept (null for a language without a band)."""
+    spark, passed = scored.sparkSession, scored.where("NOT base_failed")
+    # a row for each of at most LANGUAGES + 1 models
+    middle = {k: q[0] for k, q in _quantiles(passed.select("lang", F.col("log_perplexity").alias("value")), 0.5).items()}
+    middles = spark.createDataFrame([(k, middle.get(k)) for k in range(LANGUAGES + 1)], "lang int, middle double")
+    scaled = passed.join(F.broadcast(middles), "lang").select("lang", ((F.col("log_perplexity") - F.col("middle")) * F.sqrt("n_words")).alias("value"))
+    scale = {k: (q[1] - q[0]) / _QUARTILES for k, q in _quantiles(scaled, 0.25, 0.75).items()}
+    facts = spark.createDataFrame([(k, middle.get(k), scale.get(k)) for k in range(LANGUAGES + 1)], "lang int, middle double, scale double")
+    reach = F.greatest(F.lit(LEAST_REACH), F.lit(FENCE) * F.col("scale") / F.sqrt(F.greatest("n_words", F.lit(1))))
+    reach = F.when(F.col("scale").isNotNull(), reach)
+    return scored.join(F.broadcast(facts), "lang").withColumns({"lower": F.col("middle") - reach, "upper": F.col("middle") + reach}).drop("middle", "scale")
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """docs (doc_id, lang, text, ...) to their counts, base_failed, log-perplexity, its band and kept."""
-    scored, _ = score(docs)
-    found = bands(scored)
-    spark = docs.sparkSession
-    # a row for each of at most LANGUAGES + 1 models
-    facts = spark.createDataFrame([(k, *found.get(k, (None, None))) for k in range(LANGUAGES + 1)], "lang int, lower double, upper double")
-    out = scored.join(F.broadcast(facts), "lang")
+    out = with_bands(score(docs)[0])
     inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & inside).drop("lang")
 
