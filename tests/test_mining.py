@@ -56,10 +56,13 @@ def test_numbers(spark):
 
 
 def test_numbers_stored(spark):
-    rows = [(k, "page", T0 + timedelta(hours=h), 0, "weight", v, u) for k, (h, v, u) in enumerate([(0, 80.0, "kg"), (5, 80.0, "kg"), (6, 81.0, ""), (7, 20.0, "%"), (40, 80.0, "kg"), (41, 82.0, "kg")])]
-    rows.append((9, "https://www.youtube.com/x", T0, 0, "weight", 1.0, "kg"))
-    kept = commitments.stored_numbers(spark.createDataFrame(rows, "capture_id long, page_key string, ts timestamp_ntz, at int, label string, value double, unit string"))
-    assert sorted(r.capture_id for r in kept.collect()) == [0, 2, 4, 5]
+    rows = [(k, 1, "page", T0 + timedelta(hours=h), 0, "weight", v, u) for k, (h, v, u) in enumerate([(0, 80.0, "kg"), (5, 80.0, "kg"), (6, 81.0, ""), (7, 20.0, "%"), (40, 80.0, "kg"), (41, 82.0, "kg")])]
+    rows.append((9, 1, "https://www.youtube.com/x", T0, 0, "weight", 1.0, "kg"))
+    # another user's page of the same key has its own unit and values, and a capture gives eight numbers
+    rows += [(10, 2, "page", T0 + timedelta(hours=1), 0, "weight", 80.0, "%"), (11, 2, "page", T0 + timedelta(hours=2), 0, "weight", 80.0, "%"), (12, 2, "page", T0 + timedelta(hours=3), 0, "weight", 81.0, "kg"), (13, 2, None, T0, 0, "weight", 5.0, "")]
+    rows += [(20, 3, "page", T0, k, f"label {k}", 1.0, "") for k in range(10)]
+    kept = commitments.stored_numbers(spark.createDataFrame(rows, "capture_id long, user_id long, page_key string, ts timestamp_ntz, at int, label string, value double, unit string"))
+    assert sorted(r.capture_id for r in kept.collect()) == [0, 2, 4, 5, 10] + [20] * 8
 
 
 def test_kept_promises(spark):
@@ -109,6 +112,14 @@ def test_time_phrases_in_a_zone(spark):
     assert got[6][0] == datetime(2024, 1, 3, 5)  # still Wednesday there
 
 
+def test_time_phrases_beyond_the_calendar(spark):
+    rows = [(1, "last 4000 weeks", T0), (2, "what was 99999999 days ago", T0), (3, "last 99999999999 days", T0), (4, "past 99999999999999999999 hours", T0), (5, "1 day ago", T0), (6, "past 9000000 weeks", T0)]
+    got = {r.query_id: (r.since, r.until) for r in timewords.with_window(spark.createDataFrame(rows, "query_id int, question string, ts timestamp_ntz")).collect()}
+    assert got[1] == (T0 - timedelta(weeks=4000), T0) and got[2] == (None, None)
+    assert got[3] == got[4] == got[6] == (None, T0)
+    assert got[5] == (datetime(2024, 1, 2), datetime(2024, 1, 2, 23, 59, 59))
+
+
 def test_diverse_and_cued(spark):
     hits = [(1, k, k, a, s) for k, (a, s) in enumerate([("x", "the same head of a text that goes on and on for long"), ("x", "The same  head of a text that goes on and on for LONG, then some"), ("y", "the same head of a text that goes on and on for long"), ("x", "other"), ("x", "another thing with other in it"), ("x", None), ("z", "last")], 1)]
     df = spark.createDataFrame(hits, "query_id long, capture_id long, rank int, app string, snippet string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,46 +40,50 @@ def recall_matches(df: DataFrame, least: float = RECALL_COSINE) -> DataFrame:
 def limited(alerts: DataFrame) -> DataFrame:
     """STR-3: alerts (user_id, capture_id, ts, topic, ...) in the order of time, three in any 24 hours, and one in 48 hours on a topic."""
     rows = alerts.withColumn("_sec", F.unix_seconds(F.col("ts").cast("timestamp")))
-    topic, sec = rows.columns.index("topic"), rows.columns.index("_sec")
+    return fold_rows(rows, ["user_id"], ["ts", "capture_id"], ["topic", "_sec"], list, may_tell).drop("_sec")
 
-    def step(state: list, row: tuple) -> bool:
-        state[:] = [(t, s) for t, s in state if row[sec] - s < COOL_DOWN]
-        if sum(row[sec] - s < 86400 for _, s in state) >= MOST_A_DAY or any(t == row[topic] for t, _ in state):
-            return False
-        state.append((row[topic], row[sec]))
-        return True
 
-    return fold_rows(rows, ["user_id"], ["ts", "capture_id"], list, step).drop("_sec")
+def may_tell(state: list, row: tuple) -> bool:
+    """Whether (topic, second) may be told; the state is what was told in the last COOL_DOWN seconds."""
+    topic, sec = row
+    state[:] = [(t, s) for t, s in state if sec - s < COOL_DOWN]
+    if sum(sec - s < 86400 for _, s in state) >= MOST_A_DAY or any(t == topic for t, _ in state):
+        return False
+    state.append((topic, sec))
+    return True
 
 
 def worth_emitting(df: DataFrame, beat: int = HEARTBEAT["active"]) -> DataFrame:
     """STR-2: observations at a change of app or address, or when the last one emitted is longer ago than a beat."""
     rows = df.withColumn("_sec", F.unix_seconds(F.col("ts").cast("timestamp")))
-    app, url, sec = (rows.columns.index(c) for c in ("app", "url", "_sec"))
 
     def step(state: dict, row: tuple) -> bool:
-        new = not state or (row[app], row[url]) != state["at"] or row[sec] - state["sec"] > beat
+        *at, sec = row
+        new = not state or at != state["at"] or sec - state["sec"] > beat
         if new:
-            state.update(at=(row[app], row[url]), sec=row[sec])
+            state.update(at=at, sec=sec)
         return new
 
-    return fold_rows(rows, ["user_id"], ["ts", "capture_id"], dict, step).drop("_sec")
+    return fold_rows(rows, ["user_id"], ["ts", "capture_id"], ["app", "url", "_sec"], dict, step).drop("_sec")
 
 
 def distinct_frames(df: DataFrame, frame: str = "frame") -> DataFrame:
     """WIN-9: frames (user_id, ts, capture_id, frame: array of cells) that differ from the last kept one in a twentieth of their cells or more."""
-    at = df.columns.index(frame)
 
     def step(state: dict, row: tuple) -> bool:
-        last, now = state.get("frame"), row[at]
-        if now is not None and last is not None and len(now) == len(last) and len(now):
-            changed = sum(abs(a - b) > CELL_DELTA for a, b in zip(now, last, strict=True))
-            if changed / len(now) < SAME_FRAME:
-                return False
-        state["frame"] = now
+        if same_frame(state.get("frame"), row[0]):
+            return False
+        state["frame"] = row[0]
         return True
 
-    return fold_rows(df, ["user_id"], ["ts", "capture_id"], dict, step)
+    return fold_rows(df, ["user_id"], ["ts", "capture_id"], [frame], dict, step)
+
+
+def same_frame(last: list[int] | None, now: list[int] | None) -> bool:
+    """Whether fewer than a twentieth of two frames' cells differ by more than CELL_DELTA; frames that are missing, empty or of another size are not the same."""
+    if not now or not last or len(now) != len(last):
+        return False
+    return float((np.abs(np.asarray(now, dtype=np.int64) - np.asarray(last, dtype=np.int64)) > CELL_DELTA).mean()) < SAME_FRAME
 
 
 def alert_states(log: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ CLIPPED = r"(?i)\b(?:of|to|the|a|an|for|with|and|or|that|if|is|are|by|on|at|in|f
 QUESTION = r"(?i)^\s*(?:will|can|could|would|should|do|does|did|am|are|is)\b"
 REMINDER = r"(?i)^\s*(?:remember to|don'?t forget to)"
 DONE = r"(?i)\b(?:sent|emailed|mailed|submitted|delivered|shared|replied|responded|finished|completed|done|paid|booked|scheduled|shipped|uploaded|posted|messaged|dm'?d|texted|called|signed|returned|confirmed|merged|approved)\b"
-DONE_STOP = ("the a an to of for with and or that this you your me my it is are be by on at in from will i'll ill send back get do can").split()
+DONE_STOP = ("the", "a", "an", "to", "of", "for", "with", "and", "or", "that", "this", "you", "your", "me", "my", "it", "is", "are", "be", "by", "on", "at", "in", "from", "will", "i'll", "ill", "send", "back", "get", "do", "can")
 BARS = {"authored": 0.70, "strict": 0.80}
 BASE = {"me": 0.55, "weak": 0.55, "them": 0.45, "imperative": 0.45}
 TRUST, STRICT_TIME, SOME_TIME = 0.15, 0.25, 0.15
@@ -58,9 +58,11 @@ SECRET_LABEL = r"(?i)\b(card|cvv|cvc|ssn|pin|password|passcode|otp|code|account|
 CHROME_LABEL = r"(?i)\b(file|edit|view|tabs?|bookmarks?|history|extensions?|window|help|format|selection|develop|terminal|toolbar|menu|favorites?|profiles?|thought|episode|season|sonnet|opus|haiku|gpt|claude|version|chapter)\b"
 JUNK_LABEL = r"(?i)\b(views?|subscribers?|likes?|comments?|commented|watching|ago|label|followers?|shares?d?|upvotes?|replies|reposts?)\b|^[kmb]\b"
 METRICS = (
-    "weight bodyweight bmi grade gpa score sleep streak steps calorie calories cal cals kcal macros protein carbs heart rate bpm pulse hydration hrv spo2 rank elo rating level reps sets pace mileage temperature temp streaks"
-).split()
-MODIFIERS = "my the your our current total today todays now this week weekly daily avg average resting max min goal value latest so far".split()
+    "weight", "bodyweight", "bmi", "grade", "gpa", "score", "sleep", "streak", "steps", "calorie", "calories", "cal", "cals", "kcal", "macros", "protein", "carbs",
+    "heart", "rate", "bpm", "pulse", "hydration", "hrv", "spo2", "rank", "elo", "rating", "level", "reps", "sets", "pace", "mileage", "temperature", "temp", "streaks",
+)
+MODIFIERS = ("my", "the", "your", "our", "current", "total", "today", "todays", "now", "this", "week", "weekly", "daily", "avg", "average", "resting", "max", "min", "goal", "value", "latest", "so", "far")
+NUMBERS_A_CAPTURE = 8
 
 
 def tidy(s: Column) -> Column:
@@ -132,17 +134,17 @@ def new_commitments(found: DataFrame) -> DataFrame:
     A state holds the user's commitments of those days only.
     """
     rows = found.withColumn("_key", plain_key("what")).withColumn("_sec", F.unix_seconds(F.col("ts").cast("timestamp")))
-    names = rows.columns
-    key, sec = names.index("_key"), names.index("_sec")
+    return fold_rows(rows, ["user_id"], ["ts", "capture_id", "at"], ["_key", "_sec"], list, new_promise).drop("_key", "_sec")
 
-    def step(state: list, row: tuple) -> bool:
-        state[:] = [(k, s) for k, s in state if row[sec] - s <= FORGET_DAYS * 86400]
-        if any(_alike(row[key], k) for k, _ in state):
-            return False
-        state.append((row[key], row[sec]))
-        return True
 
-    return fold_rows(rows, ["user_id"], ["ts", "capture_id", "at"], list, step).drop("_key", "_sec")
+def new_promise(state: list, row: tuple) -> bool:
+    """Whether (key, second) is like none of the state's, which are those of the last FORGET_DAYS days."""
+    key, sec = row
+    state[:] = [(k, s) for k, s in state if sec - s <= FORGET_DAYS * 86400]
+    if any(_alike(key, k) for k, _ in state):
+        return False
+    state.append((key, sec))
+    return True
 
 
 def kept_promises(made: DataFrame, captures: DataFrame, text: str = "body") -> DataFrame:
@@ -156,48 +158,55 @@ def kept_promises(made: DataFrame, captures: DataFrame, text: str = "body") -> D
 
 
 def labelled_numbers(captures: DataFrame, text: str = "body") -> DataFrame:
-    """TXT-14: (capture_id, page_key, text, ts) to (capture_id, page_key, ts, at, label, value, unit): the first number of each personal measure in a text.
+    """TXT-14: (capture_id, user_id, page_key, text, ts) to (capture_id, user_id, page_key, ts, at, label, value, unit): the first number of each personal measure in a text.
 
     Lines of 4 to 120 characters count; zeros, bare years and numbers of seven digits or more are no values.  Modifiers are dropped from labels.
+    Only lines with a digit and the letters of some measure are looked through: no other can give a value.
     """
-    line = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
-    lines = F.filter(F.transform(lines_of(text), line), lambda x: F.length(x).between(4, 120))
-    s = captures.select("capture_id", "page_key", "ts", F.posexplode(lines).alias("row", "line"))
+    some = F.filter(lines_of(text), lambda x: x.rlike("[0-9]") & x.rlike("(?i)" + "|".join(METRICS)))
+    lines = F.filter(F.transform(some, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: F.length(x).between(4, 120))
+    own = ["capture_id", "user_id", "page_key", "ts"]
+    s = captures.select(*own, F.posexplode(lines).alias("row", "line"))
     group = lambda k: F.regexp_extract_all("line", F.lit(PAIR), F.lit(k))
-    s = s.select("capture_id", "page_key", "ts", "row", F.posexplode(F.arrays_zip(group(1).alias("label"), group(2).alias("cur"), group(3).alias("num"), group(4).alias("unit"))).alias("m", "x")).select("capture_id", "page_key", "ts", "row", "m", "x.*")
+    s = s.select(*own, "row", F.posexplode(F.arrays_zip(group(1).alias("label"), group(2).alias("cur"), group(3).alias("num"), group(4).alias("unit"))).alias("m", "x")).select(*own, "row", "m", "x.*")
     s = s.withColumn("label", F.trim("label")).withColumn("value", F.replace("num", F.lit(","), F.lit("")).try_cast("double"))
     words = F.regexp_extract_all(F.lower("label"), F.lit("([a-z]+)"), F.lit(1))
     s = s.withColumn("core", F.filter(words, lambda w: ~w.isin(*MODIFIERS)))
     good = (F.length("label") >= 3) & ~F.col("label").rlike(SECRET_LABEL) & ~F.col("label").rlike(CHROME_LABEL) & ~F.col("label").rlike(JUNK_LABEL) & (F.size("core") > 0) & F.forall("core", lambda w: w.isin(*METRICS))
     long = F.length(F.regexp_replace("num", "[^0-9]", "")) >= 7
     year = ~F.col("num").contains(".") & F.col("value").between(1900, 2100)
-    s = s.where(good & (F.col("value") != 0) & ~long & ~year).select("capture_id", "page_key", "ts", "row", "m", F.left(F.concat_ws(" ", "core"), F.lit(40)).alias("label"), "value", F.coalesce(F.nullif("unit", F.lit("")), F.nullif("cur", F.lit("")), F.lit("")).alias("unit"))
-    first = s.groupBy("capture_id", "page_key", "ts", "label").agg(F.min(F.struct("row", "m", "value", "unit")).alias("x"))
-    return first.select("capture_id", "page_key", "ts", (F.col("x.row") * 1000 + F.col("x.m")).alias("at"), "label", "x.value", "x.unit")
+    s = s.where(good & (F.col("value") != 0) & ~long & ~year).select(*own, "row", "m", F.left(F.concat_ws(" ", "core"), F.lit(40)).alias("label"), "value", F.coalesce(F.nullif("unit", F.lit("")), F.nullif("cur", F.lit("")), F.lit("")).alias("unit"))
+    first = s.groupBy(*own, "label").agg(F.min(F.struct("row", "m", "value", "unit")).alias("x"))
+    return first.select(*own, (F.col("x.row") * 1000 + F.col("x.m")).alias("at"), "label", "x.value", "x.unit")
+
+
+def observations(found: DataFrame) -> DataFrame:
+    """The first NUMBERS_A_CAPTURE numbers of each capture, without those of noisy pages and pages without a key."""
+    rows = found.where(F.col("page_key").isNotNull() & (F.col("page_key") != "") & ~F.col("page_key").rlike(NOISE_KEY))
+    return rows.withColumn("_place", F.row_number().over(Window.partitionBy("capture_id").orderBy("at"))).where(F.col("_place") <= NUMBERS_A_CAPTURE).drop("_place")
 
 
 def stored_numbers(found: DataFrame) -> DataFrame:
-    """STR-5, JN-21, WIN-8: observations in the order of time, without those of another unit than the one most seen so far for their page and label, and
-    without values stored within the day before.  The state of a key is its unit counts and the values of one day."""
-    rows = found.where(~F.col("page_key").rlike(NOISE_KEY)).withColumn("_sec", F.unix_seconds(F.col("ts").cast("timestamp")))
-    names = rows.columns
-    value, unit, sec = (names.index(c) for c in ("value", "unit", "_sec"))
-
-    def step(state: dict, row: tuple) -> bool:
-        units, recent = state.setdefault("units", {}), state.setdefault("recent", {})
-        settled = min(units, key=lambda u: (-units[u], u)) if units else ""
-        if settled and row[unit] and row[unit] != settled:
-            return False
-        for v in [v for v, s in recent.items() if row[sec] - s > 86400]:
-            del recent[v]
-        if row[value] in recent:
-            return False
-        recent[row[value]] = row[sec]
-        if row[unit]:
-            units[row[unit]] = units.get(row[unit], 0) + 1
-        return True
-
-    return fold_rows(rows, ["page_key", "label"], ["ts", "capture_id", "at"], dict, step).drop("_sec")
+    """STR-5, JN-21, WIN-8: a user's observations in the order of time, without those of another unit than the one most seen so far for their page and label,
+    and without values stored within the day before.  The state of a (user, page, label) is its unit counts and the values of one day."""
+    rows = observations(found).withColumn("_sec", F.unix_seconds(F.col("ts").cast("timestamp")))
+    return fold_rows(rows, ["user_id", "page_key", "label"], ["ts", "capture_id", "at"], ["value", "unit", "_sec"], lambda: ({}, {}), new_value).drop("_sec")
+
+
+def new_value(state: tuple[dict, dict], row: tuple) -> bool:
+    """Whether (value, unit, second) is stored; the state is the counts of units, and the values of one day with their second."""
+    (units, recent), (value, unit, sec) = state, row
+    settled = min(units, key=lambda u: (-units[u], u)) if units else ""
+    if settled and unit and unit != settled:
+        return False
+    for v in [v for v, s in recent.items() if sec - s > 86400]:
+        del recent[v]
+    if value in recent:
+        return False
+    recent[value] = sec
+    if unit:
+        units[unit] = units.get(unit, 0) + 1
+    return True
 
 
 @query("commitments")

@@ -17,6 +17,8 @@ NAMED_DAY = r"\b(last|this|on)?\s*(" + "|".join(WEEKDAYS) + r")\b"
 WEEKEND = r"\b(?:this\s+|last\s+|over\s+the\s+|on\s+the\s+|the\s+)?weekend\b"
 
 
+#: Days back that are within the calendar.
+MOST_DAYS = 700_000
 #: Time phrases in the order in which they are looked for: a name, the pattern, and what is taken out of the question.
 RULES = (
     ("today", r"\btoday\b", r"\btoday\b|\b(?:this\s+)?(?:morning|afternoon|evening|night)\b"),
@@ -41,6 +43,7 @@ def with_window(questions: DataFrame, zone: str | Column = "UTC") -> DataFrame:
     """TXT-24: questions (question, ts, ...) with since, until and rest: the span that the first time phrase names, seen from ts.
 
     ts, since and until are UTC (timestamp_ntz); days begin at midnight of zone, a name or a column of names.  Either end may be null: no bound.
+    A span of more than MOST_DAYS days has no beginning, nor has a day longer ago than that an end.
     rest is the question without the phrase and with single blanks; without a phrase the question as it is.  A null question has no span.
     A query_id stands for one question.
     """
@@ -58,13 +61,14 @@ def with_window(questions: DataFrame, zone: str | Column = "UTC") -> DataFrame:
     since_day = F.pmod(weekday - target, F.lit(7))
     since_day = F.when((since_day == 0) & (F.regexp_extract(q, NAMED_DAY, 1) == "last"), 7).otherwise(since_day)
     ago = F.regexp_extract(q, r"\b(\d+)\s+days?\s+ago\b", 1).try_cast("int")
+    ago = F.when(ago <= MOST_DAYS, ago)
     word, unit = F.regexp_replace(F.regexp_extract(q, AMOUNT, 1), r"\s+", " "), F.regexp_extract(q, AMOUNT, 2)
-    n = F.when(word.contains("few"), 3).when(word.contains("couple"), 2).otherwise(F.coalesce(word.try_cast("int"), F.lit(1)))
+    n = F.when(word.contains("few"), 3).when(word.contains("couple"), 2).when(word.rlike("^[0-9]+$"), word.try_cast("long")).otherwise(1)
     each = F.when(unit.isin("hour", "hr"), 3600).when(unit.isin("minute", "min"), 60).when(unit == "day", 86400).otherwise(604800)
     rule = F.col("_rule")
     back = F.when(rule == "yesterday", 1).when(rule == "ago", ago).when(rule == "weekday", since_day).otherwise(0)
     saturday = -F.pmod(weekday - 5, F.lit(7)) - F.when(q.rlike(r"\blast\s+weekend\b"), 7).otherwise(0)
-    df = df.withColumns({"_back": -back, "_first": first * 3600, "_last": F.when(last == 24, 86399).otherwise(last * 3600), "_span": -n * each, "_saturday": saturday})
+    df = df.withColumns({"_back": -back, "_first": first * 3600, "_last": F.when(last == 24, 86399).otherwise(last * 3600), "_span": -F.when(F.try_multiply(n, each.cast("long")) <= MOST_DAYS * 86400, F.try_multiply(n, each.cast("long"))), "_saturday": saturday})
     # (days, seconds) from the start of the day, the month or from now, for both ends
     day, sat, span = F.col("_back"), F.col("_saturday"), F.col("_span")
     ends = {
@@ -102,9 +106,11 @@ PHRASES = (
 _KIND = f"query_id % {len(PHRASES)}"
 _CASE = lambda k: "CASE " + _KIND + " " + " ".join(f"WHEN {i} THEN {p[k]}" for i, p in enumerate(PHRASES)) + " END"
 #: The question log with a time phrase behind each question, and the span it names.
+# "this" anywhere makes the night of "last night" this one, and then the phrase stays in the question
+_NIGHT = f"{_KIND} = 17 AND regexp_matches(lower(text), '\\bthis\\b')"
 WINDOWS_SQL = (
-    f"asked_v AS (SELECT query_id, user_id, text, ts, embedding, CAST({_CASE(1)} AS TIMESTAMP) AS since, CAST({_CASE(2)} AS TIMESTAMP) AS until, "
-    f"CASE WHEN {_KIND} = {len(PHRASES) - 1} THEN text || ' ' ELSE trim(regexp_replace(text || CASE WHEN {_KIND} = 8 THEN ' in the' WHEN {_KIND} = 9 THEN ' in the' ELSE '' END, '\\s+', ' ', 'g')) END AS rest FROM (SELECT *, ts AS t, date_trunc('day', ts)::TIMESTAMP AS d FROM queries_v))"
+    f"asked_v AS (SELECT query_id, user_id, text, ts, embedding, CASE WHEN {_NIGHT} THEN d + INTERVAL 21 HOUR ELSE CAST({_CASE(1)} AS TIMESTAMP) END AS since, CASE WHEN {_NIGHT} THEN d + INTERVAL 86399 SECOND ELSE CAST({_CASE(2)} AS TIMESTAMP) END AS until, "
+    f"CASE WHEN {_NIGHT} THEN trim(regexp_replace(text || ' last night', '\\s+', ' ', 'g')) WHEN {_KIND} = {len(PHRASES) - 1} THEN text || ' ' ELSE trim(regexp_replace(text || CASE WHEN {_KIND} = 8 THEN ' in the' WHEN {_KIND} = 9 THEN ' in the' ELSE '' END, '\\s+', ' ', 'g')) END AS rest FROM (SELECT *, ts AS t, date_trunc('day', ts)::TIMESTAMP AS d FROM queries_v))"
 )
 
 
