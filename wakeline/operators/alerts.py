@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,12 +12,14 @@ from ..functions.columns import dot
 from ..functions.text import snippet
 from ..plans.catalog import over_captures, query
 from ..sources.captures import captures, table
-from .folds import fold_rows
+from .folds import fold_rows, unfold_rows
 from .recall import ranked
 
 RECALL_COSINE, RECALL_AGE, RECALL_POOL, LEAST_SNIPPET = 0.82, 24 * 3600, 10, 12
 MOST_A_DAY, COOL_DOWN = 3, 48 * 3600
 HEARTBEAT = {"active": 20, "idle": 60}
+#: Seconds without an observation after which nothing is emitted any more.
+QUIET = 300
 CELL_DELTA, SAME_FRAME = 24, 0.05
 
 
@@ -86,6 +90,78 @@ def same_frame(last: list[int] | None, now: list[int] | None) -> bool:
     return float((np.abs(np.asarray(now, dtype=np.int64) - np.asarray(last, dtype=np.int64)) > CELL_DELTA).mean()) < SAME_FRAME
 
 
+#: What is emitted: an observed screen at a change of app or address or after a beat, or the last one again where nothing is observed for a beat.
+EMISSION = "user_id long, capture_id long, ts timestamp, app string, url string, reason string"
+EMISSION_ORDER = ["capture_id", "app", "url", "frame"]
+
+
+class Screen:
+    """What a user's screen showed last: the state of STR-2 with WIN-9.
+
+    An attempt to emit is made at a change and, beyond a beat since the last attempt, at the next observation; without one, as soon as the beat is over,
+    until QUIET seconds after the last observation.  An attempt gives a row unless its frame is the same as the last emitted one.
+    """
+
+    SCHEMA = "capture_id long, app string, url string, frame array<int>, seen long, tried long, kept array<int>"
+
+    def __init__(self, beat: int, quiet: int, state=None):
+        self.beat, self.quiet, self.known = beat, quiet, state is not None
+        if state is not None:
+            self.capture_id, self.app, self.url, self.frame, self.seen, self.tried, self.kept = state
+
+    def state(self) -> tuple:
+        return (self.capture_id, self.app, self.url, self.frame, self.seen, self.tried, self.kept)
+
+    def observe(self, capture_id, app, url, frame, sec: int) -> list[tuple]:
+        out, reason = [], "app"
+        if self.known:
+            out = self.silence(sec - 1)
+            reason = "app" if app != self.app else "url" if url != self.url else "heartbeat" if sec - self.tried > self.beat else None
+        else:
+            self.known, self.kept, self.tried = True, None, sec
+        self.capture_id, self.app, self.url, self.frame, self.seen = capture_id, app, url, frame, sec
+        return out + (self._try(sec, reason) if reason else [])
+
+    def next_beat(self) -> int | None:
+        """When the next beat is due, if nothing is observed before."""
+        due = self.tried + self.beat + 1
+        return due if self.known and due <= self.seen + self.quiet else None
+
+    def silence(self, until: int) -> list[tuple]:
+        """Nothing was observed up to a second."""
+        out = []
+        while (due := self.next_beat()) is not None and due <= until:
+            out += self._try(due, "heartbeat")
+        return out
+
+    def _try(self, sec: int, reason: str) -> list[tuple]:
+        self.tried = sec
+        if same_frame(self.kept, self.frame):
+            return []
+        self.kept = self.frame
+        return [(self.capture_id, sec, self.app, self.url, reason)]
+
+
+def emissions(df: DataFrame, until: str, beat: int = HEARTBEAT["active"], quiet: int = QUIET) -> DataFrame:
+    """STR-2, WIN-9: observations (user_id, capture_id, ts, app, url, frame) to EMISSION, with the beats of silences up to a time.
+
+    A frame is an array of cells or null; a screen without a frame is never the same as another.
+    """
+    rows = df.select("user_id", *EMISSION_ORDER, F.unix_seconds(F.col("ts").cast("timestamp")).alias("_sec"))
+    end = int(datetime.fromisoformat(until).replace(tzinfo=timezone.utc).timestamp())
+
+    def step(state: dict, row: tuple) -> list[tuple]:
+        screen = state.setdefault("screen", Screen(beat, quiet))
+        state["user"] = row[0]
+        return [(row[0], *x) for x in screen.observe(*row[1:])]
+
+    def finish(state: dict) -> list[tuple]:
+        return [(state["user"], *x) for x in state["screen"].silence(end)]
+
+    out = unfold_rows(rows, ["user_id"], ["_sec", "capture_id"], "user_id long, capture_id long, _sec long, app string, url string, reason string", dict, step, finish)
+    return out.select("user_id", "capture_id", F.timestamp_seconds("_sec").alias("ts"), "app", "url", "reason")
+
+
 def alert_states(log: DataFrame) -> DataFrame:
     """STR-11: an event log (alert_id, at, status, feedback) to each alert's latest status and latest feedback; one aggregate."""
     by = F.struct("at", "status")
@@ -116,6 +192,13 @@ def emitted_captures(spark, sf_dir) -> DataFrame:
     return worth_emitting(captures(spark, sf_dir).select("user_id", "capture_id", "ts", "app", "url"), beat=86_400)
 
 
+@query("emissions")
+def emissions_q(spark, sf_dir) -> DataFrame:
+    """STR-2 with WIN-9 and beats of 8 hours up to a day after the last observation, as the fixtures' gaps are hours; frames are made of the captures' vectors."""
+    cells = F.transform("embedding", lambda x: F.round(x * 100 + 128).cast("int"))
+    return emissions(captures(spark, sf_dir, vectors=True).withColumn("frame", cells), "2024-01-31", beat=8 * 3600, quiet=86_400)
+
+
 @query("distinct_frames")
 def distinct_frames_q(spark, sf_dir) -> DataFrame:
     """WIN-9 over frames made of the captures' vectors, as the given tables hold no pictures."""
