@@ -8,12 +8,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import dot
 from ..functions.text import snippet
 from ..plans.catalog import over_captures, query
 from ..sources.captures import captures, table
 from .folds import fold_rows, unfold_rows
 from .recall import ranked
+from .tiles import vector_search
 
 RECALL_COSINE, RECALL_AGE, RECALL_POOL, LEAST_SNIPPET = 0.82, 24 * 3600, 10, 12
 MOST_A_DAY, COOL_DOWN = 3, 48 * 3600
@@ -27,12 +27,13 @@ def recall_matches(df: DataFrame, least: float = RECALL_COSINE) -> DataFrame:
     """JN-3: captures (capture_id, user_id, ts, app, page_key, ocr_text, embedding) to (capture_id, user_id, ts, match_id, topic, score).
 
     Of the RECALL_POOL nearest captures of the user that are a day older, and near enough, the first of another page or app with enough text is told.
-    Vectors (unit length) and texts stay apart: pairs carry ids and vectors, and texts are looked up for the pools only.
+    Vectors (unit length) meet in tiles that keep each capture's pool only; texts are looked up for the pools.
     """
-    new = df.select("capture_id", "user_id", "ts", F.col("embedding").alias("v"))
-    old = df.select(F.col("capture_id").alias("match_id"), "user_id", F.col("ts").alias("match_ts"), F.col("embedding").alias("w"))
-    near = new.join(old, "user_id").where(F.col("match_ts") <= F.col("ts") - F.make_dt_interval(secs=F.lit(RECALL_AGE))).where("size(v) = size(w)")
-    near = near.select("capture_id", "user_id", "ts", "match_id", F.round(dot("v", "w"), 6).alias("score")).where(F.col("score") >= least)
+    now = F.unix_seconds(F.col("ts").cast("timestamp"))
+    q = df.select(F.col("capture_id").alias("query_id"), F.col("user_id").alias("owner"), now.alias("now"), F.col("embedding").alias("v"))
+    rows = df.select(F.col("capture_id").alias("key"), F.col("user_id").alias("owner"), now.alias("t"), F.col("embedding").alias("v"))
+    near = vector_search(q, rows, RECALL_POOL, spans=[(None, F.col("now") - RECALL_AGE)], least=least)
+    near = near.select(F.col("query_id").alias("capture_id"), F.col("key").alias("match_id"), "score").join(df.select("capture_id", "user_id", "ts").hint("merge"), "capture_id")
     pool = ranked(near, ["capture_id"], RECALL_POOL, F.desc("score"), "match_id")
     own = df.select("capture_id", F.col("app").alias("_app"), F.col("page_key").alias("_key"))
     other = df.select(F.col("capture_id").alias("match_id"), "app", "page_key", snippet("ocr_text").alias("_text"))

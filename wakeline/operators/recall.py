@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import dot
 from ..plans.catalog import over_captures, query
 from ..sources.captures import captures, query_log, table
 from .filters import CATEGORIES, STOP_WORDS, content_words, question_category
 from .sessions import seconds
+from .tiles import vector_search
 
 RE_ASK = 0.60
 REPHRASE = (15, 180)
@@ -31,9 +31,9 @@ def nearest_captures(queries: DataFrame, df: DataFrame, most: int) -> DataFrame:
 
     Vectors that are null or of another length take no part; ties go to the smaller id.
     """
-    q = queries.where("embedding IS NOT NULL").select("query_id", "user_id", F.col("embedding").alias("qv"))
-    near = df.where("embedding IS NOT NULL").join(q, "user_id").where("size(qv) = size(embedding)").select("query_id", "capture_id", dot("qv", "embedding").alias("score"))
-    near = near.withColumn("score", F.round("score", 6))
+    q = queries.select("query_id", F.col("user_id").alias("owner"), F.col("embedding").alias("v"))
+    rows = df.select(F.col("capture_id").alias("key"), F.col("user_id").alias("owner"), F.lit(0).cast("long").alias("t"), F.col("embedding").alias("v"))
+    near = vector_search(q, rows, most).select("query_id", F.col("key").alias("capture_id"), "score")
     return ranked(near, ["query_id"], most, F.desc("score"), "capture_id")
 
 
@@ -101,12 +101,16 @@ def reinforced(spark, sf_dir) -> DataFrame:
 def forgetting_events(log: DataFrame) -> DataFrame:
     """JN-4: for each question the earliest like one of the user that was asked shortly before, or long before.
 
-    Gaps of neither kind are passed over.  Each user's questions meet each other, as the definition asks for.
+    Gaps of neither kind are passed over.  Each user's questions are compared in tiles, of which the earliest of each question leaves.
     """
-    old = log.select(F.col("query_id").alias("prior_id"), "user_id", F.col("ts").alias("prior_ts"), F.col("embedding").alias("pv"))
-    pairs = log.join(old, "user_id").where("prior_id < query_id").withColumn("gap", seconds("prior_ts", "ts"))
-    pairs = pairs.where(F.col("gap").between(*REPHRASE) | (F.col("gap") >= RE_ASK_AFTER)).where(dot("embedding", "pv") >= RE_ASK)
-    first = pairs.groupBy("query_id", "user_id").agg(F.min(F.struct("prior_id", "gap")).alias("x"), F.first("text").alias("text"))
+    now = F.unix_seconds(F.col("ts").cast("timestamp"))
+    q = log.select("query_id", F.col("user_id").alias("owner"), now.alias("now"), F.col("embedding").alias("v"))
+    rows = log.select(F.col("query_id").alias("key"), F.col("user_id").alias("owner"), now.alias("t"), F.col("embedding").alias("v"))
+    spans = [(F.col("now") - REPHRASE[1], F.col("now") - REPHRASE[0]), (None, F.col("now") - RE_ASK_AFTER)]
+    found = vector_search(q, rows, 1, spans=spans, least=RE_ASK, earlier=True, by_key=True)
+    old = log.select(F.col("query_id").alias("prior_id"), F.col("ts").alias("prior_ts"))
+    pairs = found.select("query_id", F.col("key").alias("prior_id")).join(old.hint("merge"), "prior_id").join(log.hint("merge"), "query_id")
+    first = pairs.select("query_id", "user_id", "text", F.struct("prior_id", seconds("prior_ts", "ts").alias("gap")).alias("x"))
     kind = F.when(F.col("x.gap") >= RE_ASK_AFTER, "re-ask").otherwise("rephrase")
     return first.select("query_id", "user_id", "x.prior_id", kind.alias("kind"), question_category().alias("category"), F.when(kind == "re-ask", F.round(F.col("x.gap") / 86400, 2)).otherwise(0.0).alias("gap_days"))
 
