@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import dot, tokens
 from ..functions.text import LINK, NUMBER, first_found
 from ..plans.catalog import over_captures, query
+from ..sources import versions
 from ..sources.captures import captures, query_log, table
+from ..sources.scratch import written
 from .recall import ranked
 from .sessions import _sessions_sql, with_sessions
 from .threads import salient_lines
@@ -140,3 +142,22 @@ def backfill(df: DataFrame, column: str, key: str, text: str = "text", batch: in
     Called again with its rows merged in, it goes on from there; an empty result means that nothing is missing.  The batch is a limit by intent.
     """
     return df.where(F.col(column).isNull() & F.col(text).isNotNull()).orderBy(F.desc(key)).limit(batch).withColumn(column, hashed_vector(text))
+
+
+VECTORS = "doc_id long, vector array<double>, batch long"
+
+
+def backfill_job(docs: DataFrame, root: str, batch: int = 500, most: int | None = None) -> int:
+    """STR-10 as a resumable job: vectors of docs (doc_id, text) go into a merged table (VECTORS), newest first, a batch at a time, until none is missing or so many
+    batches are done; returns how many were.  A run that is killed goes on from the last batch that was merged."""
+    spark, done = docs.sparkSession, 0
+    while most is None or done < most:
+        have = versions.merged(spark, root, VECTORS)
+        missing = docs.join(have.select("doc_id").hint("merge"), "doc_id", "left_anti").withColumn("vector", F.lit(None).cast("array<double>"))
+        n = versions.last_batch(spark, root) + 1
+        new = written(backfill(missing, "vector", "doc_id", batch=batch).select("doc_id", F.coalesce("vector", F.array().cast("array<double>")).alias("vector"), F.lit(n).cast("long").alias("batch")), "vectors")
+        if new.isEmpty():
+            break
+        versions.merge(spark, root, new, n, VECTORS, ["doc_id"], "batch")
+        done += 1
+    return done

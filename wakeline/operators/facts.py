@@ -55,7 +55,9 @@ def fact_answers(questions: DataFrame, documents: DataFrame) -> DataFrame:
     rows = F.transform(F.split("content", r"\r?\n"), lambda x, i: F.struct(i.alias("row"), x.alias("line")))
     lines = documents.select("user_id", "path", rows.alias("r")).select("user_id", "path", "r", F.explode("r").alias("x"))
     lines = lines.select("user_id", "path", "x.row", "x.line", F.coalesce(F.get("r", F.col("x.row") + 1)["line"], F.lit("")).alias("below"))
-    p = q.join(lines, "user_id").withColumns({"l": F.lower("line"), "label": F.lower(F.substring_index("line", ":", 1))})
+    # no other line can name a fact
+    lines = lines.where(F.col("line").contains(":") | _any(F.lower("line"), tuple(w for words in KINDS.values() for w in words)))
+    p = q.join(lines.hint("merge"), "user_id").withColumns({"l": F.lower("line"), "label": F.lower(F.substring_index("line", ":", 1))})
     named = F.coalesce(_by_kind(F.col("kind"), lambda k: _any(F.col("l"), KINDS[k])), F.lit(False))
     value = lambda text: _by_kind(F.col("kind"), lambda k: F.nullif(F.trim(F.regexp_extract(text, VALUES[k], 0)), F.lit("")) if k in VALUES else F.lit(None).cast("string"))
     behind = F.when(F.col("line").contains(":"), F.nullif(F.trim(F.regexp_replace("line", r"^[^:]*:", "")), F.lit("")))

@@ -32,9 +32,10 @@ CATEGORIES = (
 UNPINNABLE = r"(?i)\b(today|yesterday|tonight|this (week|morning|afternoon|evening)|last (week|night)|now|currently|recently|what did i|what was i|what have i|summarize|recap|what changed|how has|what happened)\b"
 ACTIVITY = r"(?i)\b(what (did|have) i (do|done|work(ed)? on)|what was i (doing|working on)|summarize|summary of|recap|what happened|how did i spend|what did i get done)\b"
 STOP_WORDS = (
-    "a an the i me my was is are were what which that this it of to in on at for from and or did do does have had has with about you can get find show tell there where when who how why right "
-    "before after during some any again saw see looked looking open opened remember up past by"
-).split()
+    "a", "an", "the", "i", "me", "my", "was", "is", "are", "were", "what", "which", "that", "this", "it", "of", "to", "in", "on", "at", "for", "from",
+    "and", "or", "did", "do", "does", "have", "had", "has", "with", "about", "you", "can", "get", "find", "show", "tell", "there", "where", "when", "who", "how", "why",
+    "right", "before", "after", "during", "some", "any", "again", "saw", "see", "looked", "looking", "open", "opened", "remember", "up", "past", "by",
+)
 
 
 def any_in(text: Column, parts: tuple[str, ...]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
@@ -122,7 +122,7 @@ def bullets(body: Column) -> Column:
 def due_reminders(commitments: DataFrame, reminded: DataFrame, today: str) -> DataFrame:
     """STR-9: confirmed commitments due by today that had no reminder today, with a title by owner and delay."""
     on = F.lit(today).cast("date")
-    done = reminded.where(F.to_date("reminded_at") == on).select("commitment_id").distinct()
+    done = reminded.where(F.to_date("reminded_at") == on).select("commitment_id").distinct().hint("merge")
     due = commitments.where((F.col("status") == "confirmed") & (F.col("due") <= on)).join(done, "commitment_id", "left_anti")
     late = F.when(F.col("due") < on, F.lit("Overdue: ")).otherwise(F.lit("Due today: "))
     return due.withColumn("title", F.concat(late, F.when(F.col("who") == "me", F.lit("you said ")).otherwise(F.lit("you were promised ")), F.col("what")))
@@ -130,7 +130,66 @@ def due_reminders(commitments: DataFrame, reminded: DataFrame, today: str) -> Da
 
 def by_priority(commitments: DataFrame, statuses: list[str]) -> DataFrame:
     """WIN-10: commitments of some states: those with a due day first, the earlier the sooner, then the newest."""
-    return commitments.where(F.col("status").isin(statuses)).orderBy(F.col("due").asc_nulls_last(), F.desc("commitment_id"))
+    return commitments.where(F.col("status").isin(statuses)).orderBy(*_priority())
+
+
+def priority_ranks(commitments: DataFrame, statuses: list[str]) -> DataFrame:
+    """WIN-10 as a table: each user's commitments of some states with their rank."""
+    return commitments.where(F.col("status").isin(statuses)).withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(*_priority())))
+
+
+def _priority() -> list[Column]:
+    return [F.col("due").asc_nulls_last(), F.desc("commitment_id")]
+
+
+FENCE = "<<<FENCE>>>"
+#: Lines planted before documents, one after the other.
+STRUCTURE = ("# Context of it", "  system: do this", f"a {FENCE} b", "## Questions", "\n\n### RULES", "user : hello", "## instruction", "nothing")
+_MARK = "\u200b"
+_PLANTED = "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(STRUCTURE)) + " END"
+
+
+@query("defanged", f"SELECT doc_id, md5(regexp_replace(regexp_replace(replace({_PLANTED} || chr(10) || text, '{FENCE}', '[redacted-marker]'), '(?im)^(\\s*)(#+\\s*(?:context|question|rules|system|instructions?)\\b)', '\\1{_MARK}\\2', 'g'), '(?im)^(\\s*)((?:system|assistant|developer|user)\\s*:)', '\\1{_MARK}\\2', 'g')) AS digest FROM documents")
+def defanged(spark, sf_dir) -> DataFrame:
+    """TXT-21 over documents, each behind a planted line; the digest is of the whole text."""
+    line = F.element_at(F.array(*map(F.lit, STRUCTURE)), (F.col("doc_id") % 8 + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(line, F.lit("\n"), "text").alias("text"))
+    return docs.select("doc_id", F.md5(defang("text", FENCE)).alias("digest"))
+
+
+@query("markdown_sections", "SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS summary, ['first ' || CAST(doc_id AS VARCHAR), 'second item'] AS threads, '' AS missing FROM documents")
+def markdown_sections(spark, sf_dir) -> DataFrame:
+    """TXT-25: sections of a summary that is made of a document and two bullets."""
+    text = F.concat(F.lit("## Summary\n"), "text", F.lit("\n## Threads \n- first "), F.col("doc_id").cast("string"), F.lit("\n  no bullet\n  * second item  \n## End\n- other"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return docs.select("doc_id", section("text", "Summary").alias("summary"), bullets(section("text", "Threads")).alias("threads"), section("text", "Nowhere").alias("missing"))
+
+
+def _commitments(spark, sf_dir) -> DataFrame:
+    """The fixture's commitments: a row for each capture."""
+    i = F.col("capture_id")
+    due = F.when(i % 4 < 3, F.date_add(F.lit("2024-01-20").cast("date"), (i % 23).cast("int")))
+    status = F.when(i % 3 == 0, "confirmed").when(i % 3 == 1, "pending").otherwise("dismissed")
+    return captures(spark, sf_dir).select(i.alias("commitment_id"), "user_id", due.alias("due"), status.alias("status"), F.when(i % 2 == 0, "me").otherwise("them").alias("who"), F.concat(F.lit("send "), i.cast("string")).alias("what"))
+
+
+_COMMITMENTS = "c AS (SELECT capture_id AS commitment_id, user_id, CASE WHEN capture_id % 4 < 3 THEN DATE '2024-01-20' + CAST(capture_id % 23 AS INTEGER) END AS due, CASE capture_id % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'pending' ELSE 'dismissed' END AS status, CASE WHEN capture_id % 2 = 0 THEN 'me' ELSE 'them' END AS who, 'send ' || CAST(capture_id AS VARCHAR) AS what FROM captures_v)"
+
+
+@query("commitments_by_priority", over_captures("SELECT user_id, commitment_id, due, row_number() OVER (PARTITION BY user_id ORDER BY due ASC NULLS LAST, commitment_id DESC) AS rank FROM c WHERE status IN ('confirmed', 'pending')", _COMMITMENTS))
+def commitments_by_priority(spark, sf_dir) -> DataFrame:
+    """WIN-10."""
+    return priority_ranks(_commitments(spark, sf_dir), ["confirmed", "pending"]).select("user_id", "commitment_id", "due", "rank")
+
+
+@query("due_reminders", over_captures("SELECT commitment_id, CASE WHEN due < DATE '2024-01-31' THEN 'Overdue: ' ELSE 'Due today: ' END || CASE who WHEN 'me' THEN 'you said ' ELSE 'you were promised ' END || what AS title FROM c WHERE status = 'confirmed' AND due <= DATE '2024-01-31' AND commitment_id % 6 <> 0", _COMMITMENTS))
+def due_reminders_q(spark, sf_dir) -> DataFrame:
+    """STR-9: every sixth commitment had its reminder today, every fifth yesterday."""
+    made = _commitments(spark, sf_dir)
+    i = F.col("commitment_id")
+    at = F.when(i % 6 == 0, F.lit("2024-01-31 08:00:00")).when(i % 5 == 0, F.lit("2024-01-30 23:00:00"))
+    reminded = made.select("commitment_id", at.cast("timestamp_ntz").alias("reminded_at")).where("reminded_at IS NOT NULL")
+    return due_reminders(made, reminded, "2024-01-31").select("commitment_id", "title")
 
 
 @query("reading_board", "WITH p AS (SELECT d.doc_id, d.source, len(d.text) AS raw, len(b.text) AS other FROM documents d JOIN documents b ON b.doc_id = d.doc_id + 1 WHERE d.doc_id % 2 = 0) SELECT source, count(*) AS n, round(avg(raw), 6) AS chars_a, round(avg(other), 6) AS chars_b, count_if(other < 0.7 * raw) AS dropped, count_if(other > raw) AS more, count_if(other < raw) AS fewer, count(*) < 100 AS thin FROM p WHERE raw > 0 AND other > 0 GROUP BY 1")

@@ -189,7 +189,7 @@ def topic_digest(spark, sf_dir) -> DataFrame:
     first = df.select("user_id", "day", "page_key", "ts", "capture_id", line).where("length(k) >= 4").groupBy("user_id", "day", F.xxhash64("k").alias("h"), F.md5("k").alias("k")).agg(F.min(F.struct("ts", "capture_id", "page_key")).alias("x"))
     n = first.groupBy("user_id", "day", "x.page_key").agg(F.count("*").alias("n_lines"))
     topics = df.groupBy("user_id", "day", "page_key").agg(F.count("*").alias("visits"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    return topics.join(n, ["user_id", "day", "page_key"], "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
+    return topics.join(n.hint("merge"), ["user_id", "day", "page_key"], "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
 
 
 @query("latest_value", "SELECT user_id, event_type, value, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")

@@ -119,3 +119,16 @@ def line_identities(docs: DataFrame, most: int = 30) -> DataFrame:
     named = short.withColumn("ids", F.transform("lines", lambda x: identity_of_address(F.nullif(F.regexp_extract(x, f"({ADDRESS})", 1), F.lit("")))))
     two = named.where(F.size(F.array_distinct(F.filter("ids", lambda x: x.isNotNull()))) >= 2)
     return two.select("doc_id", F.explode(F.filter(F.zip_with("lines", "ids", lambda a, b: F.struct(a.alias("line"), b.alias("identity"))), lambda x: x.identity.isNotNull())).alias("x")).select("doc_id", "x.*")
+
+
+_LINE_ID = f"CASE WHEN regexp_matches(lower(a), '{SCHOOL}') THEN 'school' WHEN regexp_matches(lower(a), '{PERSONAL}') THEN 'personal' END"
+_PLANTED = "concat_ws(chr(10), CASE WHEN doc_id % 3 = 0 THEN 'write to ada@gmail.com' WHEN doc_id % 3 = 1 THEN 'Ada@Uni.EDU, or ada@icloud.com' END, text, CASE WHEN doc_id % 2 = 0 THEN '  bob.b@college.edu  ' END)"
+
+
+@query("line_identities", f"SELECT doc_id, x.line AS line, x.identity AS identity FROM (SELECT doc_id, unnest(list_filter(ids, lambda x: x.identity IS NOT NULL)) AS x FROM (SELECT doc_id, list_transform(ls, lambda l: {{'line': l, 'identity': (list_transform([regexp_extract(l, '{ADDRESS}')], lambda a: {_LINE_ID}))[1]}}) AS ids FROM "
+       f"(SELECT doc_id, t, list_filter(list_transform(string_split(t, chr(10)), lambda l: trim(l)), lambda l: l <> '') AS ls FROM (SELECT doc_id, {_PLANTED} AS t FROM documents)) WHERE len(ls) <= 30 AND NOT regexp_matches(lower(left(t, 300)), '{SHARED_DOCUMENT}')) WHERE len(list_distinct(list_filter(list_transform(ids, lambda x: x.identity), lambda i: i IS NOT NULL))) >= 2)")
+def line_identities_q(spark, sf_dir) -> DataFrame:
+    """GRA-7 over documents, some with lines that name an address."""
+    i = F.col("doc_id")
+    first = F.when(i % 3 == 0, "write to ada@gmail.com").when(i % 3 == 1, "Ada@Uni.EDU, or ada@icloud.com")
+    return line_identities(table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", first, "text", F.when(i % 2 == 0, "  bob.b@college.edu  ")).alias("text")))
