@@ -24,15 +24,15 @@ def with_dwell(df: DataFrame, least: int | None = None) -> DataFrame:
     """WIN-2: the gap to the user's next capture of the day, capped; the last of a day earns 0."""
     w = Window.partitionBy("user_id", "day").orderBy("ts", "capture_id")
     df = df.withColumn("day", F.to_date("ts")).withColumn("next_ts", F.lead("ts").over(w))
-    gap = F.least(seconds("ts", "next_ts"), F.lit(DWELL_CAP))
-    return df.withColumn("dwell", F.coalesce(gap if least is None else F.greatest(gap, F.lit(least)), F.lit(0)))
+    gap = F.when(F.col("next_ts").isNotNull(), F.least(seconds("ts", "next_ts"), F.lit(DWELL_CAP)))  # least passes over nulls
+    return df.withColumn("dwell", F.coalesce(gap if least is None else F.when(gap.isNotNull(), F.greatest(gap, F.lit(least))), F.lit(0)))
 
 
 def time_per_app(df: DataFrame) -> DataFrame:
     return with_dwell(df).groupBy("user_id", "day", "app").agg(F.sum("dwell").alias("secs")).withColumn("minutes", F.bround(F.col("secs") / 60).cast("long"))
 
 
-_DWELL = "SELECT *, CAST(ts AS DATE) AS day, coalesce(least(date_diff('second', ts, lead(ts) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, capture_id)), 300), 0) AS dwell FROM keyed"
+_DWELL = "SELECT * EXCLUDE (next_ts), CASE WHEN next_ts IS NULL THEN 0 ELSE least(date_diff('second', ts, next_ts), 300) END AS dwell FROM (SELECT *, CAST(ts AS DATE) AS day, lead(ts) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, capture_id) AS next_ts FROM keyed)"
 _TIME = f"d AS ({_DWELL}), t AS (SELECT user_id, day, app, sum(dwell)::BIGINT AS secs, round_even(sum(dwell) / 60.0, 0)::BIGINT AS minutes FROM d GROUP BY 1, 2, 3)"
 
 
