@@ -79,14 +79,9 @@ def test_repeated_ids(spark, tmp_path, monkeypatch):
     assert found(spark, rows, tmp_path) == brute(rows)
 
 
-@pytest.mark.parametrize("n", [0, 1, 16, 17])
-def test_small_trees(spark, tmp_path, n):
-    rows = [(i, "s", "en", 1, f"t{i}", "", 1) for i in range(n)]
-    assert found(spark, rows, tmp_path) == brute(rows)
-
-
-def test_many_sources(spark, tmp_path):
-    rows = [(i, f"s{i}", "en", 1, f"t{i}", "", 1) for i in range(300)]
+@pytest.mark.parametrize("sizes", [[], [1], [17], [1, 16, 17, 256, 257], [1] * 300])
+def test_trees_of_sizes(spark, tmp_path, sizes):
+    rows = [(1000 * k + i, f"s{k:03}", "en", 1, f"t{i}", "", 1) for k, n in enumerate(sizes) for i in range(n)]
     assert found(spark, rows, tmp_path) == brute(rows)
 
 

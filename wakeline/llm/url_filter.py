@@ -1,5 +1,9 @@
 """Operator 10, URL filters: host and path rules first, then a weighted vocabulary counted by an Aho-Corasick automaton.
 
+The vocabulary is a table (term, strict) of the caller's; STRICT_TERMS and SOFT_TERMS are the one of the registered query.  Terms are lower-cased (A-Z) and
+each counts once, strict if any of its rows is; null and empty terms go.  It is read to the driver, made into one automaton and broadcast, up to
+VOCABULARY_ROWS terms; a longer one is refused.
+
 A term counts only where no letter or digit (a-z, 0-9) stands directly before or after it in the lower-cased url.  One strict
 term rejects a url; soft terms reject it when at least SOFT_HITS distinct ones occur.
 
@@ -25,6 +29,7 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 STRICT_TERMS = ("casino", "porn", "xxx", "viagra", "malware", "phishing", "spam", "adult")
 SOFT_TERMS = ("bets", "bet", "free", "cheap", "pills", "win", "ads", "track", "farm", "poker", "loan", "click", "bonus", "prize", "hot", "deal")
 SOFT_HITS = 2
+VOCABULARY_ROWS = 1_000_000
 
 
 def with_host_path(df: DataFrame, url: str = "url") -> DataFrame:
@@ -45,21 +50,40 @@ def with_rule(df: DataFrame, rules: tuple = RULES) -> DataFrame:
     return df.withColumn("rule", rule).withColumn("rule_verdict", verdict)
 
 
-def _automaton() -> ahocorasick.Automaton:
+def automaton_of(terms: list[tuple[str, bool]]) -> ahocorasick.Automaton | None:
+    """An automaton of terms, or None without any: an automaton without words can't be searched."""
+    weights: dict[str, bool] = {}
+    for term, strict in terms:
+        if term:
+            term = "".join(c.lower() if c.isascii() else c for c in term)
+            weights[term] = bool(strict) or weights.get(term, False)
+    if not weights:
+        return None
     a = ahocorasick.Automaton()
-    for strict, terms in ((True, STRICT_TERMS), (False, SOFT_TERMS)):
-        for term in terms:
-            a.add_word(term, (term, strict))
+    for term, strict in weights.items():
+        a.add_word(term, (term, strict))
     a.make_automaton()
     return a
 
 
+def vocabulary_terms(vocabulary: DataFrame | None) -> list[tuple[str, bool]]:
+    """(term, strict) of a vocabulary table, or of the module's own."""
+    if vocabulary is None:
+        return [*((t, True) for t in STRICT_TERMS), *((t, False) for t in SOFT_TERMS)]
+    rows = vocabulary.select("term", "strict").where("term IS NOT NULL").limit(VOCABULARY_ROWS + 1).collect()
+    if len(rows) > VOCABULARY_ROWS:
+        raise ValueError(f"the vocabulary has more than {VOCABULARY_ROWS} rows")
+    return [(r.term, r.strict) for r in rows]
+
+
 def _plain(c: str) -> bool:
     return c.isascii() and c.isalnum()
 
 
-def term_hits(automaton: ahocorasick.Automaton, url: str | None) -> tuple[int, int, int]:
+def term_hits(automaton: ahocorasick.Automaton | None, url: str | None) -> tuple[int, int, int]:
     """Strict hits, soft hits, distinct soft terms of a url."""
+    if automaton is None:
+        return 0, 0, 0
     text = "".join(c.lower() if c.isascii() else c for c in url or "")
     strict, soft, distinct = 0, 0, set()
     for end, (term, is_strict) in automaton.iter(text):
@@ -73,22 +97,29 @@ def term_hits(automaton: ahocorasick.Automaton, url: str | None) -> tuple[int, i
     return strict, soft, len(distinct)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    automaton = _automaton()
-    for batch in batches:
-        hits = [term_hits(automaton, u) for u in batch.column(0).to_pylist()]
-        cols = [pa.array([h[k] for h in hits], pa.int32()) for k in range(3)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "strict_hits", "soft_hits", "soft_terms"])
+def _count(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = shared.value
+        for batch in batches:
+            hits = [term_hits(automaton, u) for u in batch.column(0).to_pylist()]
+            cols = [pa.array([h[k] for h in hits], pa.int32()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "strict_hits", "soft_hits", "soft_terms"])
+
+    return run
+
 
+def judge_urls(pages: DataFrame, rules: tuple = RULES, vocabulary: DataFrame | None = None, enough: int = SOFT_HITS) -> DataFrame:
+    """pages (page_id, url, ...) with host, path, rule, strict_hits, soft_hits, soft_terms and verdict (allow or block).
 
-def judge_urls(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
-    """pages (page_id, url, ...) with host, path, rule, strict_hits, soft_hits, soft_terms and verdict (allow or block)."""
+    One strict term of the vocabulary (term, strict) blocks a url that no rule judges, and so do ``enough`` distinct soft ones.
+    """
+    shared = pages.sparkSession.sparkContext.broadcast(automaton_of(vocabulary_terms(vocabulary)))
     extra = [c for c in pages.columns if c not in ("url", "host", "path", "rule", "verdict", "rule_verdict", "strict_hits", "soft_hits", "soft_terms")]
     slim = pages.select("url", *extra)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
-    counted = slim.mapInArrow(_count, f"{types}, strict_hits int, soft_hits int, soft_terms int")
+    counted = slim.mapInArrow(_count(shared), f"{types}, strict_hits int, soft_hits int, soft_terms int")
     judged = with_rule(with_host_path(counted), rules)
-    method = F.when((F.col("strict_hits") > 0) | (F.col("soft_terms") >= SOFT_HITS), "block").otherwise("allow")
+    method = F.when((F.col("strict_hits") > 0) | (F.col("soft_terms") >= enough), "block").otherwise("allow")
     return judged.withColumn("verdict", F.coalesce("rule_verdict", method)).drop("rule_verdict")
 
 
