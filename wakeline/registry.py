@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import alerts, cards, cascade, commitments, daymap, diffs, episodes, facts, filters, history, memory, places, positions, proposals, readings, recall, rescue, retrieval, sessions, text, threads, timewords  # noqa: F401  (they register)
+from .operators import alerts, answers, cards, cascade, commitments, daymap, diffs, episodes, facts, filters, history, memory, places, positions, proposals, readings, recall, rescue, retrieval, sessions, text, threads, timewords  # noqa: F401  (they register)
 from .plans.catalog import ORACLES, QUERIES, Query
 from .streaming import feeds  # noqa: F401  (registers too)
 
