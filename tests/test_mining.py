@@ -30,6 +30,17 @@ def test_commitments(spark, text, want):
     assert found(spark, text) == want
 
 
+def test_patterns_meet_few_sentences(spark):
+    """Of long texts without an opener or an order nothing is split; a plan that puts each pattern into every filter again took minutes."""
+    filler = "\n".join(["Thtion be, esaned that thntwhre and wh orha be ansh thhaat stinst in thstnd"] * 20)
+    texts = [filler, filler + "\nI'll send the report to Dana by Friday", filler + "\nSEND the invoice today", filler + "\nsend it\ntoday it is", None]
+    df = spark.createDataFrame([(k, 1, T0, "Mail", None, "k", t) for k, t in enumerate(texts)], NOTE)
+    assert [r[0] for r in df.select(commitments.may_promise(F.col("body"))).collect()] == [False, True, True, False, None]
+    out = commitments.commitments(df)
+    assert sorted(r.capture_id for r in out.collect()) == [1, 2]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("make sure to") <= 8
+
+
 def test_trust_decides(spark):
     assert found(spark, "I'll send the report to Dana by Friday", "Terminal") == []
     assert found(spark, "I'll send the report to Dana by Friday", "Browser", "https://chatgpt.com/x") == []

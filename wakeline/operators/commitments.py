@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import body, lines_of, sentences
 from ..plans.catalog import over_captures, query
 from ..sources.captures import NOTE_LINES, NOTES_SQL, notes
+from ..sources.scratch import among, written
 from .filters import NOISE_KEY, source_class
 from .folds import fold_rows
 from .memory import vague_due
@@ -47,6 +50,15 @@ QUESTION = r"(?i)^\s*(?:will|can|could|would|should|do|does|did|am|are|is)\b"
 REMINDER = r"(?i)^\s*(?:remember to|don'?t forget to)"
 DONE = r"(?i)\b(?:sent|emailed|mailed|submitted|delivered|shared|replied|responded|finished|completed|done|paid|booked|scheduled|shipped|uploaded|posted|messaged|dm'?d|texted|called|signed|returned|confirmed|merged|approved)\b"
 DONE_STOP = ("the", "a", "an", "to", "of", "for", "with", "and", "or", "that", "this", "you", "your", "me", "my", "it", "is", "are", "be", "by", "on", "at", "in", "from", "will", "i'll", "ill", "send", "back", "get", "do", "can")
+#: What a text, and a sentence of it, must hold to have one of the shapes above: an opener, or a verb and a time.
+OPENER = r"(?i)\b(?:i'?ll|i will|i'?m going to|i'?m gonna|i plan to|need to|have to|gotta|i must|remember to|don'?t forget to|please|can you|could you|make sure to)\b"
+VERBS = (
+    "email", "send", "call", "text", "message", "reply", "respond", "finish", "submit", "review", "schedule", "book", "invite", "buy", "order", "pay", "remind", "update", "write", "draft", "prepare", "share", "ask", "follow up", "circle back", "meet",
+    "ping", "dm", "confirm", "cancel", "renew", "complete", "upload", "fix", "merge", "approve", "set up", "reach out", "get",
+)
+ORDERED = r"(?i)\b(?:" + "|".join(VERBS) + r")\b"
+#: A plain piece of each opener.
+OPENED = ("i'll", "ill", "i will", "m going to", "m gonna", "i plan to", "need to", "have to", "gotta", "i must", "remember to", "t forget to", "please", "can you", "could you", "make sure to")
 BARS = {"authored": 0.70, "strict": 0.80}
 BASE = {"me": 0.55, "weak": 0.55, "them": 0.45, "imperative": 0.45}
 TRUST, STRICT_TIME, SOME_TIME = 0.15, 0.25, 0.15
@@ -65,6 +77,12 @@ MODIFIERS = ("my", "the", "your", "our", "current", "total", "today", "todays",
 NUMBERS_A_CAPTURE = 8
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that later filters read: without the explode of one row Spark puts their expressions into each filter, once for each mention."""
+    one = F.explode_outer(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_once")
+    return df.select("*", one).select(*df.columns, "_once.*")
+
+
 def tidy(s: Column) -> Column:
     """A phrase with single blanks, cut at a dash, bar or bullet between blanks and at the first word outside ASCII, without marks around it."""
     one = F.trim(F.regexp_replace(s, r"\s+", " "))
@@ -82,18 +100,22 @@ def commitments(captures: DataFrame, text: str = "body") -> DataFrame:
     Sentences of the message's own lines are looked through for four shapes in order: the writer's promise, a weak one with a time, a request,
     and an order with a time.  Questions, negations, hedges, adverts and clipped phrases go; of phrases of a capture that hold one another the
     first stays.  A deadline is told from the capture's day.  Blocked surfaces and null texts give none.
+
+    Texts, and then sentences, that can hold no shape go first, by a search for openers and verbs: the patterns meet few sentences.
     """
-    c = captures.withColumn("trust", source_class()).where("trust <> 'blocked'")
-    s = c.select("capture_id", "user_id", "ts", "trust", F.posexplode(sentences_of(text)).alias("at", "s"))
-    s = s.withColumn("strict", F.col("s").rlike(DEADLINE)).withColumn("timed", F.col("strict") | F.col("s").rlike(TEMPORAL))
+    c = captures.withColumn("trust", source_class()).where("trust <> 'blocked'").where(may_promise(F.col(text)))
+    # outer: for a plain explode Spark makes the sentences once more to see whether there are any
+    s = c.select("capture_id", "user_id", "ts", "trust", F.posexplode_outer(sentences_of(text)).alias("at", "s")).where(may_promise(F.col("s")))
+    s = once(s, strict=F.col("s").rlike(DEADLINE))
+    s = once(s, timed=F.col("strict") | F.col("s").rlike(TEMPORAL))
     found = lambda pattern: F.nullif(F.regexp_extract("s", pattern, 0), F.lit(""))
     timed = lambda pattern: F.when(F.col("timed"), found(pattern))
-    s = s.withColumns({"me": found(ME), "weak": timed(ME_WEAK), "them": found(THEM), "imperative": timed(IMPERATIVE)})
+    s = once(s, me=found(ME), weak=timed(ME_WEAK), them=found(THEM), imperative=timed(IMPERATIVE))
     shape = F.when(F.col("me").isNotNull(), "me").when(F.col("weak").isNotNull(), "weak").when(F.col("them").isNotNull(), "them").when(F.col("imperative").isNotNull(), "imperative")
-    s = s.withColumn("shape", shape).where("shape IS NOT NULL").withColumn("what", tidy(F.coalesce("me", "weak", "them", "imperative"))).withColumn("whole", tidy(F.col("s")))
+    s = once(s.withColumn("shape", shape).where("shape IS NOT NULL"), what=tidy(F.coalesce("me", "weak", "them", "imperative")), whole=tidy(F.col("s")))
     rest = F.substr("whole", F.length("what") + 1)
     cut = F.col("whole").startswith(F.col("what")) & rest.rlike(r"^\p{L}") & F.col("what").contains(" ")
-    s = s.withColumn("what", F.when(cut, F.regexp_replace("what", r" [^ ]*$", "")).otherwise(F.col("what")))
+    s = once(s, short=F.when(cut, F.regexp_replace("what", r" [^ ]*$", "")).otherwise(F.col("what"))).drop("what").withColumnRenamed("short", "what")
     n = F.size(F.split("what", " "))
     bad = F.col("s").contains("?") | F.col("s").rlike(QUESTION) | F.col("s").rlike(NEGATION) | F.col("s").rlike(HEDGE) | F.col("s").rlike(ADVERT)
     bad = bad | (((F.col("shape") == "imperative") | F.col("s").rlike(REMINDER)) & F.col("s").rlike(INSTRUCTION)) | ~n.between(3, 16) | F.col("what").rlike(CLIPPED)
@@ -111,6 +133,13 @@ def commitments(captures: DataFrame, text: str = "body") -> DataFrame:
     return every.select("capture_id", "user_id", "ts", "trust", F.explode(kept).alias("x")).select("capture_id", "user_id", "ts", "trust", "x.at", "x.who", "x.what", "x.due", "x.confidence")
 
 
+def may_promise(text: Column) -> Column:
+    """Whether a line holds what each of the four shapes needs; most are told by plain pieces, and the patterns meet few lines."""
+    any_of = lambda low, words: reduce(or_, (low.contains(w) for w in words))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.exists(F.array(F.lower(x)), lambda low: any_of(low, OPENED + VERBS)))
+    return F.exists(lines, lambda x: x.rlike(OPENER) | (x.rlike(ORDERED) & (x.rlike(TEMPORAL) | x.rlike(DEADLINE))))
+
+
 def sentences_of(text: str) -> Column:
     own = body(text)
     pieces = F.filter(F.transform(F.split(own, r"[.?!\n]|\s{2,}|\s+[-–—•|›]\s+"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: F.length(x).between(8, 200))
@@ -149,10 +178,12 @@ def new_promise(state: list, row: tuple) -> bool:
 
 def kept_promises(made: DataFrame, captures: DataFrame, text: str = "body") -> DataFrame:
     """JN-11: (user_id, capture_id, what, closed_at): commitments closed by a later authored capture that says something is done and holds two
-    of their first five distinctive words."""
+    of their first five distinctive words.  Words that no commitment has go before anything is shuffled."""
     words = F.filter(F.split(plain_key("what"), r"\s+"), lambda w: (F.length(w) > 3) & ~w.isin(*DONE_STOP))
     open_ = made.select("user_id", "capture_id", "ts", "what", F.explode(F.array_distinct(F.slice(words, 1, 5))).alias("word"))
+    open_ = written(open_, "open")
     done = captures.where((source_class() == "authored") & body(text).rlike(DONE)).select("user_id", F.col("ts").alias("done_ts"), F.col("capture_id").alias("done_id"), F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower(body(text)), "[^a-z0-9 ]", " "), r"\s+"))).alias("word"))
+    done = among(done, written(open_.select("word").distinct(), "words"), ["word"])
     met = open_.join(done.hint("merge"), ["user_id", "word"]).where("done_ts > ts").groupBy("user_id", "capture_id", "what", "done_id", "done_ts").agg(F.count("*").alias("n")).where("n >= 2")
     return met.groupBy("user_id", "capture_id", "what").agg(F.min("done_ts").alias("closed_at"))
 
