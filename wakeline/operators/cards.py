@@ -12,6 +12,7 @@ from .filters import UNPINNABLE
 from .history import neighbours
 from .memory import site_key
 from .threads import salient_lines
+from .tiles import vector_search
 
 # What clutters a title, and how long a site's name and a profile's name may be.
 COUNTER = r"(?:^|(?<=\s)|(?<=:))\s*[\(\[]\s*\d{1,5}\s*[\)\]](?=\s|$)"
@@ -67,10 +68,14 @@ def moment_cards(moments: DataFrame, df: DataFrame, lines: int = 6) -> DataFrame
 
 def pinned_answers(questions: DataFrame, pins: DataFrame) -> DataFrame:
     """JN-5: (query_id, pin_id, score): the user's pin nearest to each question that may be pinned; ties to the smaller id."""
-    q = questions.where(~F.col("text").rlike(UNPINNABLE)).select("query_id", "user_id", F.col("embedding").alias("q"))
-    near = q.join(pins.select("pin_id", "user_id", "embedding"), "user_id").where("size(q) = size(embedding)").withColumn("score", F.round(dot("q", "embedding") / F.sqrt(dot("q", "q") * dot("embedding", "embedding")), 6))
-    best = near.where(F.col("score") >= PIN_LEAST).groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "pin_id")).alias("x"))
-    return best.select("query_id", "x.pin_id", (-F.col("x.s")).alias("score"))
+    both = lambda df, key: df.withColumn("_len", F.sqrt(dot("embedding", "embedding"))).where("_len > 0").groupBy("user_id", F.transform("embedding", lambda x: x / F.nullif(F.col("_len"), F.lit(0.0))).alias("v")).agg(F.min(key).alias("key"))
+    asked = questions.where(~F.col("text").rlike(UNPINNABLE)).select("query_id", "user_id", "embedding")
+    unit = asked.withColumn("_len", F.sqrt(dot("embedding", "embedding"))).where("_len > 0").select("query_id", "user_id", F.transform("embedding", lambda x: x / F.nullif(F.col("_len"), F.lit(0.0))).alias("v"))
+    # equal vectors have the same pin: one question, and the pin of the smallest id, stand for them
+    q, p = both(asked, "query_id"), both(pins, "pin_id")
+    found = vector_search(q.select(F.col("key").alias("query_id"), F.col("user_id").alias("owner"), "v"), p.select("key", F.col("user_id").alias("owner"), F.lit(0).cast("long").alias("t"), "v"), 1, least=PIN_LEAST)
+    best = q.join(found.select(F.col("query_id").alias("key"), F.col("key").alias("pin_id"), "score").hint("merge"), "key").select("user_id", "v", "pin_id", "score")
+    return unit.join(best.hint("merge"), ["user_id", "v"]).select("query_id", "pin_id", "score")
 
 
 def settled_sites(log: DataFrame, owners: DataFrame) -> DataFrame:
