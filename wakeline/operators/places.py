@@ -9,7 +9,9 @@ from ..functions.columns import col
 from ..functions.text import credential
 from ..plans.catalog import over_captures, query
 from ..sources.captures import captures, query_log, table
+from ..sources.scratch import among, written
 from .recall import ranked
+from .termtiles import term_search
 
 #: Titles that name nothing.
 JUNK_TITLES = ("new tab", "untitled", "blank", "start page", "home", "loading", "about:blank")
@@ -59,14 +61,16 @@ def shingles(text: str = "text") -> Column:
 def trigram_top(docs: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     """TOPK-3: documents that share most of the distinct three-letter pieces of a question's first 12 words; ties to the smaller id.
 
-    Pieces are counted once a document before they meet the questions, and the questions' side is far smaller than the postings.
+    Pieces are counted once a document, and questions meet documents in tiles.
     """
     first = F.array_join(F.slice(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: F.length(w) >= 3), 1, 12), " ")
-    asked = queries.withColumn("text", first).select("query_id", F.explode(F.array_distinct(shingles())).alias("g"))
-    held = docs.select("doc_id", F.explode(F.array_distinct(shingles())).alias("g"))
-    n = asked.groupBy("query_id").agg(F.count("*").alias("of"))
-    hits = held.join(asked.hint("merge"), "g").groupBy("query_id", "doc_id").agg(F.count("*").alias("shared")).join(n.hint("merge"), "query_id")
-    hits = hits.withColumn("score", F.round(F.col("shared") / F.col("of"), 6))
+    one, unit = F.lit(0).alias("owner"), F.lit(1.0).alias("w")
+    pieces = queries.withColumn("text", first).select("query_id", F.array_distinct(shingles()).alias("gs"))
+    asked = written(pieces.select("query_id", one, F.size("gs").alias("n"), unit, F.explode("gs").alias("term")), "asked")
+    wanted = written(asked.select("term").distinct(), "wanted")
+    held = among(docs.select(F.col("doc_id").alias("key"), one, unit, F.explode(F.array_distinct(shingles())).alias("term")), wanted, ["term"])
+    size = written(docs.select(one).groupBy("owner").agg(F.count("*").alias("n_docs")), "sizes")
+    hits = term_search(asked, held, size, most, digits=6).withColumnRenamed("key", "doc_id")
     return ranked(hits, ["query_id"], most, F.desc("score"), "doc_id").select("query_id", "doc_id", "score", "rank")
 
 
