@@ -1,6 +1,7 @@
 """Documents from files, deletions over a graph of tables, and proposals that say nothing new."""
 
 import os
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -84,3 +85,39 @@ def test_new_proposals(spark, known, offered, kept):
     old = spark.createDataFrame([(1, t) for t in known] + [(2, t) for t in offered if t], "user_id long, text string")
     new = spark.createDataFrame([(1, k, t) for k, t in enumerate(offered)], "user_id long, proposal_id long, text string")
     assert sorted(r.proposal_id for r in proposals.new_proposals(new, old).collect()) == kept
+
+
+def test_proposals_in_blocks(spark, monkeypatch):
+    """Blocks, and the bounds before the exact comparison, leave the fold's result as it is; few pairs are compared letter by letter."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeinrst h") for _ in range(rng.randint(2, 9))) for _ in range(60)] + ["Ünïcödé", "漢字漢字", "x"]
+    line = lambda: " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 5, 12, 40])))
+    lines = [line() for _ in range(150)]
+    lines += [t[: rng.randint(1, len(t))] + rng.choice(["", "st", " xyz"]) for t in rng.sample(lines, 60)]
+    known = [(u, t) for u, t in [(None, line()), *((k % 2, line()) for k in range(30))]]
+    new = [(rng.choice([0, 1, None]), None if k % 50 == 7 else k, rng.choice([t, t, t.upper(), f" {t} "])) for k, t in enumerate(lines)]
+    want, state = [], {}
+    for u, t in known + [(u, t) for u, k, t in new if k is None]:
+        state.setdefault(u, []).append(proposals.Fact(t.strip()))
+    for u, k, t in new:
+        if k is not None and t.strip():
+            fact = proposals.Fact(t.strip())
+            if not any(fact.like(x) for x in state.setdefault(u, [])):
+                state[u].append(fact)
+                want.append(k)
+    monkeypatch.setattr(proposals, "TASKS", 2)
+    monkeypatch.setattr(proposals, "AT_ONCE", 9)
+    for size in (40, 4_096):
+        monkeypatch.setattr(proposals, "BLOCK", size)
+        got = proposals.new_proposals(spark.createDataFrame(new, "user_id long, proposal_id long, text string"), spark.createDataFrame(known, "user_id long, text string"))
+        assert sorted(r.proposal_id for r in got.collect()) == want
+
+
+def test_bounds_spare_comparisons(monkeypatch):
+    rng, pairs = random.Random(1), []
+    real = proposals.SequenceMatcher
+    monkeypatch.setattr(proposals, "SequenceMatcher", lambda *a: pairs.append(a) or real(*a))
+    held = proposals.Known()
+    for _ in range(200):
+        held.taken([proposals.Fact("".join(rng.choice("etaoinshrdlu ") for _ in range(rng.randint(50, 90))))])
+    assert len(held.facts) > 190 and len(pairs) < 200
