@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -21,10 +21,18 @@ def read_feed(spark: SparkSession, path: str, schema: StructType, files: int = 1
     return feed.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def enough_text() -> Column:
+    return F.length(F.trim("ocr_text")) >= MIN_CHARS
+
+
+def masked_text() -> Column:
+    return F.substring(T.redact("ocr_text"), 1, 25_000)
+
+
 def enriched(feed: DataFrame) -> DataFrame:
     """STR-1: what passes the gate and has enough text, masked, cut and with its page; no state, no shuffle."""
-    kept = feed.where((gate_label() == "active") & (F.length(F.trim("ocr_text")) >= MIN_CHARS))
-    return kept.withColumn("ocr_text", F.substring(T.redact("ocr_text"), 1, 25_000)).withColumn("page_key", page_key())
+    kept = feed.where((gate_label() == "active") & enough_text())
+    return kept.withColumn("ocr_text", masked_text()).withColumn("page_key", page_key())
 
 
 def once(feed: DataFrame, late: str = LATE) -> DataFrame:
@@ -81,5 +89,6 @@ def swept(spark, sf_dir) -> DataFrame:
 
 @query("enriched_captures")
 def enriched_captures(spark, sf_dir) -> DataFrame:
-    """STR-1 over the table."""
-    return enriched(captures(spark, sf_dir, text=True))
+    """STR-1 over the table; captures share documents, so a text is judged and masked once."""
+    df = captures(spark, sf_dir, text=True, made={"ocr_text": masked_text(), "enough": enough_text()})
+    return df.where(gate_label() == "active").where("enough").drop("enough").withColumn("page_key", page_key())
