@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.columns import recall_probability
 from ..plans.catalog import over_captures, query
 from ..sources.captures import captures, query_log, table
+from ..sources.scratch import BROADCAST_ROWS, written
 
 _Q = lambda words: ", ".join(f"'{w}'" for w in words)
 _LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)"
@@ -130,16 +131,27 @@ def recall_curve(spark, sf_dir) -> DataFrame:
  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS r FROM n) SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM r WHERE length(k) < 12 OR r = 1 GROUP BY 1""")
 def without_repeated_lines(spark, sf_dir) -> DataFrame:
     """TXT-33: of lines that agree but for case and marks the first stays; short lines all stay; order is kept."""
-    n = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines_of("text")).alias("pos", "line"))
-    n = n.withColumn("k", F.regexp_replace(F.trim(F.regexp_replace(F.lower("line"), "[^a-z0-9 ]", "")), " +", " "))
-    long_line = F.length("k") >= 12
-    first = n.where(long_line).groupBy("doc_id", "k").agg(F.min(F.struct("pos", "line")).alias("x")).select("doc_id", "x")
-    kept = first.unionByName(n.where(~long_line).select("doc_id", F.struct("pos", "line").alias("x")))
-    return kept.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("x")).select("doc_id", F.array_join("x.line", "\n").alias("text"))
+    return distinct_lines(table(spark, sf_dir, "documents"))
+
+
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a text's lines are told apart inside its row; rows of one id count as one text, and their lines meet in a shuffle."""
+    key = lambda x: F.regexp_replace(F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9 ]", "")), " +", " ")
+    lines = F.transform(T.lines_of("text"), lambda x, i: F.struct(key(x).alias("k"), i.alias("pos"), x.alias("line")))
+    rows = docs.where("text IS NOT NULL").select("doc_id", F.array_sort(lines).alias("x"))
+    again = written(docs.where("text IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    many = again.select(F.col("doc_id").alias("again")).hint("broadcast" if again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else "merge")
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    one = rows.join(many, same, "left_anti")
+    more = rows.join(many, same, "left_semi").groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("x"))
+    # sorted by key and place: a long line stays where the one before it has another key
+    first = F.expr("filter(x, (l, i) -> length(l.k) < 12 OR i = 0 OR x[i - 1].k <> l.k)")
+    kept = F.array_sort(F.transform(first, lambda l: F.struct(l.pos.alias("pos"), l.line.alias("line"))))  # noqa: E741
+    return one.unionByName(more).select("doc_id", F.array_join(F.transform(kept, lambda l: l.line), "\n").alias("text"))  # noqa: E741
 
 
 @query("screen_triggers", over_captures(f"SELECT capture_id, regexp_matches(left(ocr_text, 4000), '{T.STACK_TRACE}') AS stack_trace, regexp_matches(left(ocr_text, 4000), '{T.MEETING}') AS meeting FROM captures_v"))
 def screen_triggers(spark, sf_dir) -> DataFrame:
     """TXT-34."""
     head = F.substring("ocr_text", 1, 4000)
-    return captures(spark, sf_dir, text=True).select("capture_id", head.rlike(T.STACK_TRACE).alias("stack_trace"), head.rlike(T.MEETING).alias("meeting"))
+    return captures(spark, sf_dir, made={"stack_trace": head.rlike(T.STACK_TRACE), "meeting": head.rlike(T.MEETING)}).select("capture_id", "stack_trace", "meeting")
