@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from wakeline import registry
+from wakeline.operators import episodes
 from wakeline.operators.memory import vague_day, vague_due, vague_kind
 from wakeline.operators.text import distinct_lines
+from wakeline.sources.captures import captures
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +33,20 @@ def test_distinct_lines(spark):
     got = {r.doc_id: r.text for r in distinct_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "The same old line\nshort\nshort\nanother line here", 2: "", None: "a line of no id", 4: "ONE line of four\nx\nx\nmore of the four"}
     assert "posexplode" not in distinct_lines(spark.createDataFrame(rows, "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_few_captures_are_joined(spark):
+    """Captures that are not asked for go before a text is joined to them."""
+    every = captures(spark, SF, text=True)
+    ids = every.select("capture_id").where("capture_id % 100 = 3")
+    some = captures(spark, SF, text=True, only=ids)
+    assert "LeftSemi" in some._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.where("capture_id % 100 = 3").collect()))
+
+
+def test_names_of_a_long_text_are_counted_once(spark):
+    names = [f"Name{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100]}" for k in range(1000)]
+    text = ". ".join(names * 3 + [names[7], names[900], names[7]])
+    df = spark.createDataFrame([(text,), ("",), (None,)], "text string").select(episodes.entities(F.col("text")).alias("e"))
+    assert [r.e for r in df.collect()] == [[names[7], names[900], *names[:6]], [], None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
