@@ -67,6 +67,17 @@ def test_token_shards_of_odd_rows(spark, tmp_path, monkeypatch):
     assert seen == Counter((i, len(x), zlib.crc32(x.tobytes())) for i, x in ids)
 
 
+def test_shards_whose_uuid_looks_like_a_number(spark, tmp_path):
+    ids = {0: [*range(5, 35), 2], 1: [7, 2], 2: [9, 9, 9, 2], 3: [2]}
+    for uuid in ("c1234567-89ab-4cde-8f01-23456789abcd", "0a234567-c2ab-4cde-8f01-23456789abcd", "0a234567-89ab-4cde-8f01-c3456789abcd"):
+        (folder := tmp_path / uuid).mkdir()
+        for k, doc in ids.items():
+            shard = token_output._shard([(k, np.array(doc, dtype="<u4").tobytes())])
+            (folder / f"part-{k // 3:05}-{uuid}-c{k % 3:03}.txt").write_bytes(shard + token_output.LINE_END.encode())
+        got = token_output.read_token_shards(spark, f"file://{folder}").orderBy("doc_id").collect()
+        assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(0, 0, 31), (1, 31, 2), (2, 33, 4), (3, 37, 1)]
+
+
 def test_no_token_shards(spark, tmp_path):
     spark.conf.set("spark.sql.files.ignoreMissingFiles", "false")
     assert token_output.token_output(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}/none").collect() == []

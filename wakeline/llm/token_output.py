@@ -291,7 +291,7 @@ def read_token_shards(spark: SparkSession, folder: str) -> DataFrame:
     rows = files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("shard"), "content").mapInArrow(_read_shards, "shard string, number long, doc_id long, before long, n_tokens long, ids_crc32 long")
     rows = stored(rows, "token-rows")
     sizes = rows.groupBy("shard").agg(F.sum("n_tokens").alias("size")).withColumn("part", F.regexp_extract("shard", r"^part-(\d+)", 1).cast("long"))
-    number = F.regexp_extract("shard", r"-c(\d+)", 1).cast("long")
+    number = F.regexp_extract("shard", r"^.*-c(\d+)", 1).cast("long")  # the last of its kind: the job's UUID may hold such a group too
     inside = F.sum("size").over(Window.partitionBy("part").orderBy(number)) - F.col("size")
     parts = sizes.groupBy("part").agg(F.sum("size").alias("part_size"))
     parts = parts.select("part", (F.sum("part_size").over(Window.orderBy("part")) - F.col("part_size")).alias("part_start"))
