@@ -150,8 +150,8 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     return one.unionByName(more).select("doc_id", F.array_join(F.transform(kept, lambda l: l.line), "\n").alias("text"))  # noqa: E741
 
 
-@query("screen_triggers", over_captures(f"SELECT capture_id, regexp_matches(left(ocr_text, 4000), '{T.STACK_TRACE}') AS stack_trace, regexp_matches(left(ocr_text, 4000), '{T.MEETING}') AS meeting FROM captures_v"))
+@query("screen_triggers", over_captures(f"SELECT capture_id, regexp_matches(ocr_text, '{T.STACK_TRACE}') AS stack_trace, regexp_matches(ocr_text, '{T.MEETING}') AS meeting FROM captures_v"))
 def screen_triggers(spark, sf_dir) -> DataFrame:
-    """TXT-34."""
-    head = F.substring("ocr_text", 1, 4000)
-    return captures(spark, sf_dir, made={"stack_trace": head.rlike(T.STACK_TRACE), "meeting": head.rlike(T.MEETING)}).select("capture_id", "stack_trace", "meeting")
+    """TXT-34, over whole texts."""
+    text = F.col("ocr_text")
+    return captures(spark, sf_dir, made={"stack_trace": text.rlike(T.STACK_TRACE), "meeting": text.rlike(T.MEETING)}).select("capture_id", "stack_trace", "meeting")
