@@ -9,9 +9,9 @@ from ..functions.columns import col
 from ..functions.text import credential
 from ..plans.catalog import over_captures, query
 from ..sources.captures import captures, query_log, table
-from ..sources.scratch import among, written
+from ..sources.scratch import written
 from .recall import ranked
-from .termtiles import term_search
+from .termtiles import count_search, distinct_pieces
 
 #: Titles that name nothing.
 JUNK_TITLES = ("new tab", "untitled", "blank", "start page", "home", "loading", "about:blank")
@@ -52,25 +52,14 @@ def place_labels_q(spark, sf_dir) -> DataFrame:
     return place_labels(captures(spark, sf_dir, keyed=True))
 
 
-def shingles(text: str = "text") -> Column:
-    """Three-letter pieces of the words of three letters or more, with repeats."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: F.length(w) >= 3)
-    return F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substr(w, i, F.lit(3)))))
-
-
 def trigram_top(docs: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     """TOPK-3: documents that share most of the distinct three-letter pieces of a question's first 12 words; ties to the smaller id.
 
-    Pieces are counted once a document, and questions meet documents in tiles.
+    Pieces are counted once a document, and questions meet documents in tiles, 64 documents at a time.
     """
     first = F.array_join(F.slice(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: F.length(w) >= 3), 1, 12), " ")
-    one, unit = F.lit(0).alias("owner"), F.lit(1.0).alias("w")
-    pieces = queries.withColumn("text", first).select("query_id", F.array_distinct(shingles()).alias("gs"))
-    asked = written(pieces.select("query_id", one, F.size("gs").alias("n"), unit, F.explode("gs").alias("term")), "asked")
-    wanted = written(asked.select("term").distinct(), "wanted")
-    held = among(docs.select(F.col("doc_id").alias("key"), one, unit, F.explode(F.array_distinct(shingles())).alias("term")), wanted, ["term"])
-    size = written(docs.select(one).groupBy("owner").agg(F.count("*").alias("n_docs")), "sizes")
-    hits = term_search(asked, held, size, most, digits=6).withColumnRenamed("key", "doc_id")
+    asked, held = (written(distinct_pieces(df, key, text), tag) for df, key, text, tag in ((queries, "query_id", first, "asked"), (docs, "doc_id", F.col("text"), "held")))
+    hits = count_search(asked, held, most).withColumnRenamed("key", "doc_id")
     return ranked(hits, ["query_id"], most, F.desc("score"), "doc_id").select("query_id", "doc_id", "score", "rank")
 
 
