@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import body, lines_of, sentences
 from ..plans.catalog import over_captures, query
-from ..sources.captures import NOTE_LINES, NOTES_SQL, notes
+from ..sources.captures import NOTE_LINES, NOTES_SQL, captures, note_line, notes
 from ..sources.scratch import among, written
 from .filters import NOISE_KEY, source_class
 from .folds import fold_rows
@@ -103,9 +103,14 @@ def commitments(captures: DataFrame, text: str = "body") -> DataFrame:
 
     Texts, and then sentences, that can hold no shape go first, by a search for openers and verbs: the patterns meet few sentences.
     """
-    c = captures.withColumn("trust", source_class()).where("trust <> 'blocked'").where(may_promise(F.col(text)))
+    return promised(captures.where(may_promise(F.col(text))), promising(text))
+
+
+def promised(captures: DataFrame, said: Column) -> DataFrame:
+    """:func:`commitments` of captures with :func:`promising` sentences, which a text that many captures share gives once."""
+    c = captures.withColumn("trust", source_class()).where("trust <> 'blocked'")
     # outer: for a plain explode Spark makes the sentences once more to see whether there are any
-    s = c.select("capture_id", "user_id", "ts", "trust", F.posexplode_outer(sentences_of(text)).alias("at", "s")).where(may_promise(F.col("s")))
+    s = c.select("capture_id", "user_id", "ts", "trust", F.explode_outer(said).alias("x")).where("x IS NOT NULL").select("capture_id", "user_id", "ts", "trust", "x.at", "x.s")
     s = once(s, strict=F.col("s").rlike(DEADLINE))
     s = once(s, timed=F.col("strict") | F.col("s").rlike(TEMPORAL))
     found = lambda pattern: F.nullif(F.regexp_extract("s", pattern, 0), F.lit(""))
@@ -133,6 +138,18 @@ def commitments(captures: DataFrame, text: str = "body") -> DataFrame:
     return every.select("capture_id", "user_id", "ts", "trust", F.explode(kept).alias("x")).select("capture_id", "user_id", "ts", "trust", "x.at", "x.who", "x.what", "x.due", "x.confidence")
 
 
+def promising(text: str | Column) -> Column:
+    """A text's sentences that may promise, each with its place among all of them."""
+    return F.filter(F.transform(sentences_of(text), lambda x, i: F.struct(i.alias("at"), x.alias("s"))), lambda x: may_promise(x.s))
+
+
+def of_notes(said: str) -> Column:
+    """Promising sentences of notes: of the planted line, then those of the captured text (said), which was looked through once a document.  No sentence spans both, as
+    a line's end parts them."""
+    rest = F.transform(F.coalesce(said, F.array().cast("array<struct<at:int,s:string>>")), lambda x: F.struct((x.at + F.size(sentences_of("line"))).alias("at"), x.s.alias("s")))
+    return F.concat(F.when(may_promise(F.col("line")), promising("line")).otherwise(F.array().cast("array<struct<at:int,s:string>>")), rest)
+
+
 def may_promise(text: Column) -> Column:
     """Whether a line holds what each of the four shapes needs; most are told by plain pieces, and the patterns meet few lines."""
     any_of = lambda low, words: reduce(or_, (low.contains(w) for w in words))
@@ -140,7 +157,7 @@ def may_promise(text: Column) -> Column:
     return F.exists(lines, lambda x: x.rlike(OPENER) | (x.rlike(ORDERED) & (x.rlike(TEMPORAL) | x.rlike(DEADLINE))))
 
 
-def sentences_of(text: str) -> Column:
+def sentences_of(text: str | Column) -> Column:
     own = body(text)
     pieces = F.filter(F.transform(F.split(own, r"[.?!\n]|\s{2,}|\s+[-–—•|›]\s+"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: F.length(x).between(8, 200))
     return F.filter(pieces, lambda x: F.size(F.regexp_extract_all(x, F.lit("([a-zA-Z]{2,})"), F.lit(1))) >= 3)
@@ -153,8 +170,13 @@ def storable(found: DataFrame, most: int = 2) -> DataFrame:
     return found.where(F.col("confidence") >= bar).withColumn("k", F.row_number().over(first)).where(F.col("k") <= most).drop("k")
 
 
+@lru_cache(maxsize=65_536)
 def _alike(a: str, b: str) -> bool:
-    return a in b or b in a or SequenceMatcher(None, a, b).ratio() > SAME
+    """The same phrases come again and again; the quick ratios are never below the ratio."""
+    if a in b or b in a:
+        return True
+    m = SequenceMatcher(None, a, b)
+    return m.real_quick_ratio() > SAME and m.quick_ratio() > SAME and m.ratio() > SAME
 
 
 def new_commitments(found: DataFrame) -> DataFrame:
@@ -240,9 +262,16 @@ def new_value(state: tuple[dict, dict], row: tuple) -> bool:
     return True
 
 
+def _promised(spark, sf_dir, where: str = "true") -> DataFrame:
+    """Commitments of the notes of some captures; texts are looked through once a document, and none meets a capture."""
+    said = F.when(may_promise(F.col("ocr_text")), promising("ocr_text"))
+    df = captures(spark, sf_dir, made={"said": said}).where(where).select("capture_id", "user_id", "ts", "app", "url", note_line().alias("line"), "said")
+    return promised(df, of_notes("said"))
+
+
 @query("commitments")
 def commitments_q(spark, sf_dir) -> DataFrame:
-    return commitments(notes(spark, sf_dir))
+    return _promised(spark, sf_dir)
 
 
 #: What each planted line of the notes gives, as an authored surface: (who, what, confidence), or none.
@@ -257,23 +286,24 @@ _GIVES = {
     "CASE k WHEN 1 THEN ts::DATE + 1 WHEN 3 THEN ts::DATE WHEN 4 THEN ts::DATE + CAST((12 - isodow(ts)) % 7 AS INTEGER) END AS due, CASE k " + " ".join(f"WHEN {k} THEN {c}::DOUBLE" for k, (_, _, c) in _GIVES.items()) + f" END AS confidence FROM notes_v WHERE app IN ('Mail', 'Notes')) WHERE k < {len(_GIVES)}", NOTES_SQL))
 def commitments_stored(spark, sf_dir) -> DataFrame:
     """TXT-12, WIN-7: what the notes' authored surfaces promise in their planted lines (their other text is made of invented words)."""
-    found = commitments(notes(spark, sf_dir).where("app IN ('Mail', 'Notes')"))
+    found = _promised(spark, sf_dir, "app IN ('Mail', 'Notes')")
     return storable(found).select("capture_id", "who", "what", "due", "confidence")
 
 
 @query("commitments_new")
 def commitments_new(spark, sf_dir) -> DataFrame:
     """JN-10, STR-4 as a table job."""
-    return new_commitments(storable(commitments(notes(spark, sf_dir))))
+    return new_commitments(storable(_promised(spark, sf_dir)))
 
 
 @query("commitments_kept", over_captures(
     "SELECT m.user_id, m.capture_id, m.k, min(d.ts) AS closed_at FROM notes_v m JOIN notes_v d ON d.user_id = m.user_id AND d.k = 6 AND d.app IN ('Mail', 'Notes') AND d.ts > m.ts WHERE m.k = 0 AND m.app <> 'Terminal' GROUP BY 1, 2, 3", NOTES_SQL))
 def commitments_kept(spark, sf_dir) -> DataFrame:
     """JN-11: the planted report is sent, and closed by the line that says so."""
-    df = notes(spark, sf_dir)
-    made = storable(commitments(df)).where("what LIKE '%send the report%'")
-    closing = df.where(F.col("body").contains(NOTE_LINES[6]))
+    made = storable(_promised(spark, sf_dir)).where("what LIKE '%send the report%'")
+    says = F.coalesce(F.col("says"), F.lit(False)) | note_line().contains(NOTE_LINES[6])
+    some = captures(spark, sf_dir, made={"says": F.col("ocr_text").contains(NOTE_LINES[6])}).where(says & (source_class() == "authored"))
+    closing = notes(spark, sf_dir, written(some.select("capture_id").distinct(), "closing")).where(F.col("body").contains(NOTE_LINES[6]))
     return kept_promises(made, closing).select("user_id", "capture_id", F.lit(0).cast("long").alias("k"), "closed_at")
 
 
