@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from test_termtiles import shuffled
 
 from wakeline.operators import positions
+from wakeline.operators.recall import keyword_top
+from wakeline.sources import scratch
 from wakeline.sources.scratch import written
 
 def one():
@@ -40,3 +42,12 @@ def test_no_place_is_shuffled(spark):
     q = spark.createDataFrame([(1, "red garden")], "query_id long, text string")
     rows, n = shuffled(spark, lambda: positions.search(docs, positions.asked_terms(q, "text", one()), one(), "doc_id", 2, ("text",)))
     assert len(rows) == 2 and n < 300 * 12
+
+
+def test_unasked_words_stay(spark, monkeypatch):
+    """Words that nobody asked for aren't shuffled where there are more asked ones than are broadcast."""
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", 2)
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("alder birch cedar"), F.transform(F.sequence(F.lit(1), F.lit(200)), lambda k: F.concat(F.lit("w"), k.cast("string")))).alias("text"))
+    q = spark.createDataFrame([(1, "alder birch cedar elder")], "query_id long, text string")
+    rows, n = shuffled(spark, lambda: keyword_top(docs, q, 2))
+    assert len(rows) == 2 and n < 100 * 20
